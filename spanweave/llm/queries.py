@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, dedup, jaccard, langid, mixing, topk
+from . import bpe, dedup, jaccard, langid, mixing, substrings, topk
 from .common import id_crc, read
 
 
@@ -42,11 +42,16 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.drop_repeats(read(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.systematic_mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_bpe, op3_jaccard, op4_langid, op5_exact_dedup, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_bpe, op3_jaccard, op4_langid, op5_exact_dedup, op8_substrings, op10_mixing)}
 
 SQL = {
     "op1_topk": """
@@ -69,6 +74,16 @@ SQL = {
         WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS s FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY s) AS keep_id, count(*) OVER (PARTITION BY s) AS group_size,
                row_number() OVER (PARTITION BY s ORDER BY doc_id DESC) = 1 AS kept, s AS text_sha256 FROM d""",
+    "op8_substrings": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM w WHERE len(w) >= 35),
+        h AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM s),
+        r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY h) AS n FROM h) WHERE n > 1),
+        g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM r),
+        gone AS (SELECT doc_id, list(i) AS gone FROM g GROUP BY doc_id),
+        k AS (SELECT w.doc_id, len(w) AS n, CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, j: NOT list_contains(gone, j)) END AS kept
+              FROM w LEFT JOIN gone ON w.doc_id = gone.doc_id)
+        SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(n - len(kept) AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k""",
     "op10_mixing": r"""
         WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
                           CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM documents),
