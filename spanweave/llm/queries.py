@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, dedup, jaccard, langid, mixing, substrings, topk
+from . import bpe, dedup, jaccard, langid, lm, mixing, substrings, topk
 from .common import id_crc, read
 
 
@@ -42,6 +42,13 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pattern = tokenizer_files()
+    held_out = id_crc(F.col("doc_id")) % 7 == 2
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", held_out)
+    return lm.lm_score(docs, ~F.col("held_out"), ranks, pattern, keep=("held_out",))
+
+
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substrings.drop_repeats(read(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -51,7 +58,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.systematic_mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_bpe, op3_jaccard, op4_langid, op5_exact_dedup, op8_substrings, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_bpe, op3_jaccard, op4_langid, op5_exact_dedup, op7_lm, op8_substrings, op10_mixing)}
 
 SQL = {
     "op1_topk": """
