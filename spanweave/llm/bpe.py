@@ -9,6 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -156,9 +157,8 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(ranks_path, pattern)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in _portions([len(t) for t in texts]):
-                ids, ends = coder.encode(texts[a:b])
+            for a, b in _portions(pc.binary_length(batch.column(1)).to_pylist()):
+                ids, ends = coder.encode(batch.column(1).slice(a, b - a).to_pylist())
                 columns = [batch.column(0).slice(a, b - a), _lists(ids, ends)]
                 if offsets:
                     columns += [_lists(x.astype(np.int32), ends) for x in coder.offsets(ids, ends)]
@@ -194,7 +194,7 @@ def _lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
 
 
-def _portions(sizes: list[int], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def _portions(sizes: list[int], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Runs of rows whose sizes sum up to about `most`, one row at least."""
     a, total = 0, 0
     for i, n in enumerate(sizes):

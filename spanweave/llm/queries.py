@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, dedup, jaccard, langid, lm, mixing, substrings, topk
+from . import bpe, dedup, jaccard, langid, licenses, lm, mixing, substrings, topk, warc
 from .common import id_crc, read
 
 
@@ -42,6 +42,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.resolve_revisits(warc.page_captures(read(spark, sf_dir, "pages")))
+    lines = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])))
+    return out.select("record_id", "canonical_url", "status", "ref_id", F.array_join(lines, "; ").alias("headers"), F.sha2(F.col("body").cast("binary"), 256).alias("body_sha256"))
+
+
 def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = tokenizer_files()
     held_out = id_crc(F.col("doc_id")) % 7 == 2
@@ -54,11 +60,41 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(licenses.document_files(read(spark, sf_dir, "documents")))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.systematic_mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_bpe, op3_jaccard, op4_langid, op5_exact_dedup, op7_lm, op8_substrings, op10_mixing)}
+def _licenses_sql() -> str:
+    quoted = ", ".join(f"({k}, '{name}', '{text.replace(chr(39), chr(39) * 2)}')" for k, (name, text) in enumerate(licenses.TEMPLATES))
+    return rf"""
+        WITH t(template, name, text) AS (VALUES {quoted}),
+        f AS (SELECT doc_id, text, coalesce(source, 'none') || '/p' || (doc_id // 500) || CASE WHEN doc_id % 25 = 0 THEN '' ELSE '/m' || ((doc_id // 50) % 10) END || '/'
+                     || CASE WHEN doc_id % 25 = 0 THEN 'LICENSE.' || doc_id ELSE 'f' || doc_id || '.txt' END AS path FROM documents),
+        tw AS (SELECT template, name, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM t),
+        v AS (SELECT DISTINCT word FROM tw),
+        total AS (SELECT count(*) AS n FROM documents),
+        dw AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM f),
+        idf AS (SELECT v.word, ln((1 + (SELECT n FROM total)) / (1 + count(dw.doc_id))) + 1 AS idf FROM v LEFT JOIN dw ON dw.word = v.word GROUP BY v.word),
+        tx AS (SELECT template, name, word, count(*) * any_value(idf) AS x FROM tw JOIN idf USING (word) GROUP BY ALL),
+        tn AS (SELECT template, name, word, x / sqrt(sum(x * x) OVER (PARTITION BY template)) AS weight FROM tx),
+        u AS (SELECT DISTINCT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM f UNION ALL SELECT doc_id, text FROM f WHERE doc_id % 25 = 0)),
+        uw AS (SELECT doc_id, line, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS word FROM u),
+        ux AS (SELECT doc_id, line, word, count(*) * coalesce(any_value(idf), ln(1 + (SELECT n FROM total)) + 1) AS x FROM uw LEFT JOIN idf USING (word) GROUP BY ALL),
+        un AS (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY doc_id, line)) AS norm FROM ux),
+        c AS (SELECT doc_id, line, template, name, round(sum(x * weight) / any_value(norm), 6) AS score FROM un JOIN tn USING (word) GROUP BY ALL),
+        o AS (SELECT doc_id, name AS own_license, score AS own_score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, name, template) AS k FROM c WHERE score >= {licenses.THRESHOLD}) WHERE k = 1),
+        n AS (SELECT f.doc_id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, own_license, own_score FROM f LEFT JOIN o ON o.doc_id = f.doc_id),
+        g AS (SELECT dir, path, own_license FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY own_score DESC, path) AS k FROM n WHERE doc_id % 25 = 0 AND own_license IS NOT NULL) WHERE k = 1),
+        i AS (SELECT n.doc_id, max(struct_pack(l := length(g.dir), license := g.own_license, path := g.path)) AS g FROM n JOIN g ON n.dir = g.dir OR starts_with(n.dir, g.dir || '/') GROUP BY n.doc_id)
+        SELECT n.doc_id, path, own_license, own_score, coalesce(own_license, i.g.license) AS license, CASE WHEN own_license IS NOT NULL THEN path ELSE i.g.path END AS license_path
+        FROM n LEFT JOIN i ON i.doc_id = n.doc_id"""
+
+
+QUERIES = {f.__name__: f for f in (op1_topk, op2_bpe, op3_jaccard, op4_langid, op5_exact_dedup, op6_warc, op7_lm, op8_substrings, op9_licenses, op10_mixing)}
 
 SQL = {
     "op1_topk": """
@@ -81,6 +117,32 @@ SQL = {
         WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS s FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY s) AS keep_id, count(*) OVER (PARTITION BY s) AS group_size,
                row_number() OVER (PARTITION BY s ORDER BY doc_id DESC) = 1 AS kept, s AS text_sha256 FROM d""",
+    "op6_warc": r"""
+        WITH p AS (SELECT *, 1700000000 + page_id * 60 AS taken_at, '"' || substr(md5(coalesce(html, '')), 1, 16) || '"' AS etag, 't' || (1700000000 - page_id * 3600) AS modified,
+                          (page_id // 2) % 4 AS turn, regexp_replace(url, '#.*$', '') AS bare FROM pages),
+        r AS (SELECT page_id * 2 AS record_id, false AS again, url, taken_at AS date, etag, modified, html FROM p
+              UNION ALL SELECT page_id * 2 + 1, true, CASE WHEN starts_with(bare, 'https:') THEN regexp_replace(bare, '^https:', 'http:') ELSE regexp_replace(bare, '^http:', 'https:') END
+                               || CASE WHEN contains(bare, '?') THEN '&' ELSE '?' END || 'utm_source=again', taken_at + 604800,
+                               CASE turn WHEN 0 THEN 'W/' || etag WHEN 3 THEN '"stale"' END, CASE turn WHEN 1 THEN modified END, NULL FROM p WHERE page_id % 2 = 0),
+        b AS (SELECT *, regexp_replace(url, '#.*$', '') AS u FROM r),
+        c AS (SELECT *, regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?]*)([^?]*)\??(.*)$', 1) AS host, regexp_replace(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?]*)([^?]*)\??(.*)$', 2), '/+$', '') AS path,
+                     list_sort(list_filter(string_split(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?]*)([^?]*)\??(.*)$', 3), '&'), lambda x: x <> '' AND lower(regexp_replace(x, '=.*$', '')) NOT IN
+                       ('fbclid', 'gclid', 'ref', 'sessionid', 'utm_campaign', 'utm_content', 'utm_medium', 'utm_source', 'utm_term'))) AS q FROM b),
+        k AS (SELECT *, regexp_replace(regexp_replace(lower(host), '^www[0-9]*\.', ''), ':(80|443)$', '') || CASE WHEN path = '' THEN '/' ELSE path END
+                     || CASE WHEN len(q) = 0 THEN '' ELSE '?' || array_to_string(q, '&') END AS canonical_url FROM c),
+        j AS (SELECT a.*, (SELECT max(struct_pack(d := f.date, i := f.record_id)) FROM k f WHERE NOT f.again AND f.canonical_url = a.canonical_url
+                           AND (f.date < a.date OR f.date = a.date AND f.record_id < a.record_id)).i AS ref FROM k a WHERE again),
+        s AS (SELECT j.*, f.html AS body, f.etag AS e, f.modified AS m, f.date AS d,
+                     CASE WHEN ref IS NULL THEN 'orphan' WHEN j.etag IS NOT NULL THEN CASE WHEN regexp_replace(j.etag, '^W/', '') = f.etag THEN 'resolved' ELSE 'mismatch' END
+                          WHEN j.modified IS NOT NULL THEN CASE WHEN j.modified = f.modified THEN 'resolved' ELSE 'mismatch' END ELSE 'unverified' END AS status
+              FROM j LEFT JOIN k f ON f.record_id = j.ref)
+        SELECT record_id, canonical_url, 'response' AS status, CAST(NULL AS BIGINT) AS ref_id,
+               'content-length: ' || octet_length(encode(coalesce(html, ''))) || '; content-type: text/html; date: t' || date || '; etag: ' || etag || '; last-modified: ' || modified AS headers,
+               sha256(html) AS body_sha256 FROM k WHERE NOT again
+        UNION ALL SELECT record_id, canonical_url, status, ref, CASE WHEN status IN ('resolved', 'unverified')
+               THEN 'content-length: ' || octet_length(encode(coalesce(body, ''))) || '; content-type: text/html; date: t' || date || '; etag: ' || coalesce(etag, e) || '; expires: t' || (date + 60) || '; last-modified: ' || coalesce(modified, m)
+               ELSE 'content-length: 0; date: t' || date || coalesce('; etag: ' || etag, '') || '; expires: t' || (date + 60) || coalesce('; last-modified: ' || modified, '') END,
+               CASE WHEN status IN ('resolved', 'unverified') THEN sha256(body) END FROM s""",
     "op8_substrings": r"""
         WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
         s AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM w WHERE len(w) >= 35),
@@ -110,3 +172,4 @@ SQL = {
         SELECT doc_id, size, source_size, target, CAST(floor(k * each + u) - floor((k - 1) * each + u) AS BIGINT) * size AS taken, source,
                CAST(floor(k * each + u) - floor((k - 1) * each + u) AS BIGINT) AS copies FROM r""",
 }
+SQL["op9_licenses"] = _licenses_sql()
