@@ -80,15 +80,20 @@ class Codec:
         head, *rest = text.split(" ")
         return [head, *[" " + x for x in rest]] if head or rest else []
 
-    def _learn(self, new: list[str]) -> None:
-        """Ids of unseen chunks: their pieces go through the model together, each on its own."""
+    def encode_new(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row and where each one's end, from 0; their pieces go through the model together, each on its own."""
         pieces = [self._split(chunk) for chunk in new]
         shown = ["".join(map(self.chars.__getitem__, piece.encode())) for own in pieces for piece in own]
+        if not shown:
+            return np.zeros(0, np.int32), np.zeros(len(new) + 1, np.int64)
         coded = self.model.encode(shown, is_pretokenized=True, add_special_tokens=False)
         ids = np.asarray(coded.ids, np.int32)
         per_piece = np.bincount(np.asarray(coded.word_ids, np.int64), minlength=len(shown)) if len(ids) else np.zeros(len(shown), np.int64)
         ends = np.cumsum(np.concatenate([[0], per_piece]))
-        cuts = ends[np.cumsum([0, *map(len, pieces)])]
+        return ids, ends[np.cumsum([0, *map(len, pieces)])]
+
+    def _learn(self, new: list[str]) -> None:
+        ids, cuts = self.encode_new(new)
         first = len(self.known)
         for i, chunk in enumerate(new):
             self.known[chunk] = first + i
@@ -157,7 +162,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(ranks_path, pattern)
         for batch in batches:
-            for a, b in _portions(pc.binary_length(batch.column(1)).to_pylist()):
+            for a, b in portions(pc.binary_length(batch.column(1)).to_pylist()):
                 ids, ends = coder.encode(batch.column(1).slice(a, b - a).to_pylist())
                 columns = [batch.column(0).slice(a, b - a), _lists(ids, ends)]
                 if offsets:
@@ -178,7 +183,7 @@ def bpe_decode(coded: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
         for batch in batches:
             lists = batch.column(1)
             counts = np.diff(lists.offsets.to_numpy()) if len(batch) else np.zeros(0, np.int64)
-            for a, b in _portions(counts.tolist()):
+            for a, b in portions(counts.tolist()):
                 part = lists.slice(a, b - a)
                 ids = part.flatten().to_numpy(zero_copy_only=False)
                 data, cuts = coder.decode(ids, np.concatenate([[0], np.cumsum(counts[a:b])]))
@@ -194,7 +199,7 @@ def _lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
 
 
-def _portions(sizes: list[int], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def portions(sizes: list[int], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Runs of rows whose sizes sum up to about `most`, one row at least."""
     a, total = 0, 0
     for i, n in enumerate(sizes):
