@@ -81,7 +81,7 @@ def string_set(a: Column, lower: bool = False) -> Column:
 
 def string_map(m: Column) -> Column:
     """Keys and values stripped, empty keys dropped, of equal keys the last; empty gives null."""
-    entries = F.transform(F.map_entries(m), lambda e: F.struct(strip(e["key"]).alias("key"), strip(e["value"]).alias("value")))
+    entries = F.transform(F.map_entries(m), lambda e: F.named_struct(F.lit("key"), strip(e["key"]), F.lit("value"), strip(e["value"])))
     out = last_wins(F.filter(entries, lambda e: e["key"] != ""))
     return F.when(F.size(out) > 0, out)
 
