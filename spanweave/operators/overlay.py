@@ -21,9 +21,14 @@ def last_given(value: Column, given: Column | None = None) -> Column:
     return F.max_by(value, F.when(value.isNotNull() if given is None else given, _order()))
 
 
+def _by_order(x: Column, y: Column) -> Column:
+    return F.when(x["o"] < y["o"], -1).when(x["o"] > y["o"], 1).otherwise(0)
+
+
 def _ordered(column: str) -> Column:
     """Values of all patches that give one, in order."""
-    return F.transform(F.array_sort(F.collect_list(F.when(F.col(column).isNotNull(), F.struct(_order().alias("o"), F.col(column).alias("v"))))), lambda x: x["v"])
+    given = F.collect_list(F.when(F.col(column).isNotNull(), F.struct(_order().alias("o"), F.col(column).alias("v"))))
+    return F.transform(F.array_sort(given, _by_order), lambda x: x["v"])
 
 
 def _maps(column: str) -> Column:

@@ -50,7 +50,7 @@ def spark_sql(view: str) -> str:
 
 
 def duck_sql(view: str) -> str:
-    return re.sub(r"\{epoch\}\((\w+)\)", r"CAST(epoch(\1) AS BIGINT)", view)
+    return re.sub(r"\{epoch\}\((\w+)\)", r"CAST(floor(epoch(\1)) AS BIGINT)", view)
 
 
 def spans(spark: SparkSession, sf_dir: str, view: str = V_SPANS) -> DataFrame:
