@@ -14,7 +14,9 @@ import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
 #: Distinct pieces whose ids a Python worker remembers; beyond it the memory starts anew. Changes no result.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 200_000
+#: Pieces that go through the model at a time.
+PIECES = 5_000
 
 # The pattern's parts for texts of ASCII and Latin-1 letters alone, where re agrees with the Unicode classes.
 _PLAIN = re.compile(r"[^\x00-\x1b\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]")
@@ -37,31 +39,51 @@ def byte_table() -> dict[int, str]:
     return table | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class Codec:
-    """Ranks of byte strings as a tokenizers BPE model: every way to split a token into two tokens is a merge of its rank."""
+def read_ranks(ranks_path: str) -> dict[bytes, int]:
+    with open(ranks_path, "rb") as lines:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
-    def __init__(self, ranks_path: str, pattern: str):
-        from tokenizers import Tokenizer, models
 
-        with open(ranks_path, "rb") as lines:
-            self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self.pattern = _full(pattern)
+class Decoder:
+    """The bytes of each id, by way of the characters that stand for them."""
+
+    def __init__(self, ranks: dict[bytes, int]):
         table = byte_table()
-        self.chars = table
-        shown = {token: "".join(map(table.__getitem__, token)) for token in self.ranks}
-        merges = []
-        for token in sorted(self.ranks, key=self.ranks.get):
-            cuts = [(self.ranks[token[:i]], self.ranks[token[i:]], i) for i in range(1, len(token)) if token[:i] in self.ranks and token[i:] in self.ranks]
-            merges += [(shown[token[:i]], shown[token[i:]]) for _, _, i in sorted(cuts)]
-        self.model = Tokenizer(models.BPE(vocab={shown[t]: r for t, r in self.ranks.items()}, merges=merges, cache_capacity=0))
         back = {c: b for b, c in table.items()}
-        size = max(self.ranks.values(), default=-1) + 1
+        size = max(ranks.values(), default=-1) + 1
         tokens = [b""] * size
-        for token, rank in self.ranks.items():
-            tokens[rank] = bytes(back[c] for c in shown[token])  # the byte table, reversed
+        for token, rank in ranks.items():
+            shown = "".join(map(table.__getitem__, token))
+            tokens[rank] = bytes(map(back.__getitem__, shown))  # the byte table, reversed
         self.lengths = np.fromiter(map(len, tokens), np.int64, size)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.flat = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of all rows' ids in a row, and where each row's bytes end (ends: where its ids end, from 0)."""
+        n = self.lengths[ids]
+        stop = np.cumsum(n)
+        out = self.flat[np.repeat(self.starts[ids] - (stop - n), n) + np.arange(int(n.sum()))]
+        return out, np.concatenate([[0], stop])[ends]
+
+
+class Codec(Decoder):
+    """Ranks of byte strings as a tokenizers BPE model: every way to split a token into two tokens is a merge of its rank."""
+
+    def __init__(self, ranks_path: str, pattern: str):
+        from tokenizers import Tokenizer, models
+
+        ranks = read_ranks(ranks_path)
+        super().__init__(ranks)
+        self.pattern = _full(pattern)
+        self.chars = byte_table()
+        self.ascii = {b: c for b, c in self.chars.items() if b < 128}
+        shown = {token: "".join(map(self.chars.__getitem__, token)) for token in ranks}
+        merges = []
+        for token in sorted(ranks, key=ranks.get):
+            cuts = [(ranks[token[:i]], ranks[token[i:]], i) for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks]
+            merges += [(shown[token[:i]], shown[token[i:]]) for _, _, i in sorted(cuts)]
+        self.model = Tokenizer(models.BPE(vocab={shown[t]: r for t, r in ranks.items()}, merges=merges, cache_capacity=0))
         self._forget()
 
     def _forget(self) -> None:
@@ -83,12 +105,15 @@ class Codec:
     def encode_new(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row and where each one's end, from 0; their pieces go through the model together, each on its own."""
         pieces = [self._split(chunk) for chunk in new]
-        shown = ["".join(map(self.chars.__getitem__, piece.encode())) for own in pieces for piece in own]
+        shown = [piece.translate(self.ascii) if piece.isascii() else "".join(map(self.chars.__getitem__, piece.encode())) for own in pieces for piece in own]
         if not shown:
             return np.zeros(0, np.int32), np.zeros(len(new) + 1, np.int64)
-        coded = self.model.encode(shown, is_pretokenized=True, add_special_tokens=False)
-        ids = np.asarray(coded.ids, np.int32)
-        per_piece = np.bincount(np.asarray(coded.word_ids, np.int64), minlength=len(shown)) if len(ids) else np.zeros(len(shown), np.int64)
+        all_ids, all_counts = [], []
+        for a in range(0, len(shown), PIECES):
+            coded = self.model.encode(shown[a : a + PIECES], is_pretokenized=True, add_special_tokens=False)
+            all_ids.append(np.asarray(coded.ids, np.int32))
+            all_counts.append(np.bincount(np.asarray(coded.word_ids, np.int64), minlength=len(shown[a : a + PIECES])))
+        ids, per_piece = np.concatenate(all_ids), np.concatenate(all_counts)
         ends = np.cumsum(np.concatenate([[0], per_piece]))
         return ids, ends[np.cumsum([0, *map(len, pieces)])]
 
@@ -121,13 +146,6 @@ class Codec:
         text_ends = np.concatenate([[0], ends])[np.cumsum([0, *map(len, chunks)])]
         return ids, text_ends
 
-    def decode(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes of all rows' ids in a row, and where each row's bytes end (ends: where its ids end, from 0)."""
-        n = self.lengths[ids]
-        stop = np.cumsum(n)
-        out = self.flat[np.repeat(self.starts[ids] - (stop - n), n) + np.arange(int(n.sum()))]
-        return out, np.concatenate([[0], stop])[ends]
-
     def offsets(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Characters [from, to) that each token touches; a character split over tokens belongs to each of them."""
         data, byte_ends = self.decode(ids, ends)
@@ -147,6 +165,11 @@ def codec(ranks_path: str, pattern: str) -> Codec:
     return Codec(ranks_path, pattern)
 
 
+@lru_cache(2)
+def decoder(ranks_path: str) -> Decoder:
+    return Decoder(read_ranks(ranks_path))
+
+
 _IDS = T.ArrayType(T.IntegerType(), False)
 
 
@@ -174,12 +197,12 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, schema)
 
 
-def bpe_decode(coded: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, *keep, decoded binary): the bytes of the ids. Tokens may split characters, so bytes are put together before
+def bpe_decode(coded: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids", keep: tuple[str, ...] = (), keep_ids: bool = False) -> DataFrame:
+    """(id, *keep, ids if asked, decoded binary): the bytes of the ids. Tokens may split characters, so bytes are put together before
     any reading as UTF-8. Null ids count as none; an id outside the vocabulary fails the job. Empty table, empty result.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = codec(ranks_path, pattern)
+        coder = decoder(ranks_path)
         for batch in batches:
             lists = batch.column(1)
             counts = np.diff(lists.offsets.to_numpy()) if len(batch) else np.zeros(0, np.int64)
@@ -188,9 +211,10 @@ def bpe_decode(coded: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
                 ids = part.flatten().to_numpy(zero_copy_only=False)
                 data, cuts = coder.decode(ids, np.concatenate([[0], np.cumsum(counts[a:b])]))
                 decoded = pa.BinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *[batch.column(2 + i).slice(a, b - a) for i in range(len(keep))], decoded], names=["doc_id", *keep, "decoded"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *[batch.column(2 + i).slice(a, b - a) for i in range(len(keep))], *[part] * keep_ids, decoded], names=names)
 
-    fields = [T.StructField("doc_id", coded.schema[id_col].dataType), *[coded.schema[c] for c in keep], T.StructField("decoded", T.BinaryType())]
+    names = ["doc_id", *keep, *["ids"] * keep_ids, "decoded"]
+    fields = [T.StructField("doc_id", coded.schema[id_col].dataType), *[coded.schema[c] for c in keep], *[T.StructField("ids", _IDS)] * keep_ids, T.StructField("decoded", T.BinaryType())]
     none = F.array().cast("array<int>")
     return coded.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(ids_col), none).alias("ids"), *keep).mapInArrow(run, T.StructType(fields))
 
@@ -199,7 +223,7 @@ def _lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
 
 
-def portions(sizes: list[int], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def portions(sizes: list[int], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Runs of rows whose sizes sum up to about `most`, one row at least."""
     a, total = 0, 0
     for i, n in enumerate(sizes):
