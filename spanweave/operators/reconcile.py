@@ -235,6 +235,19 @@ def closed(chosen: DataFrame) -> DataFrame:
     return chosen.where("kind = 'service'").unionByName(edges).unionByName(ends.where("kind = 'endpoint'"))
 
 
+def fingerprint(chosen: DataFrame) -> str:
+    """SHA-256 of what a projection holds, in (kind, id) order; entities, not spans, so one small row."""
+    each = F.array_sort(F.collect_list(F.concat_ws("\x1f", "kind", "id", F.coalesce("source", F.lit("")), F.coalesce("target", F.lit("")))))
+    return chosen.agg(F.sha2(F.array_join(each, "\n").cast("binary"), 256)).first()[0]
+
+
+def bump(globals_: Globals, name: str, digest: str) -> tuple[Globals, bool]:
+    """The projection's (`stable` or `guardrail`) version goes up if its digest differs from the last one."""
+    if getattr(globals_, f"{name}_hash") == digest:
+        return globals_, False
+    return replace(globals_, **{f"{name}_hash": digest, f"{name}_version": getattr(globals_, f"{name}_version") + 1}), True
+
+
 def lifecycle_counts(state: DataFrame) -> DataFrame:
     return state.groupBy("kind").pivot("lifecycle", ["candidate", "active", "stale", "retired"]).count().fillna(0)
 

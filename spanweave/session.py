@@ -127,11 +127,11 @@ def _now() -> str:
     return datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
-def discover_spans(spark: SparkSession, spans: DataFrame, ref: str, discovered_at: str | None = None, patches: documents.Patches | None = None, connector: str = "file") -> Result:
+def discover_spans(spark: SparkSession, spans: DataFrame, ref: str, discovered_at: str | None = None, patches: documents.Patches | None = None, connector: str = "file", seen: bool = False) -> Result:
     """Spans to a checked, overlaid model with coverage."""
     spans = spans.cache()
     try:
-        graph, totals = graph_of(spans, ref, connector)
+        graph, totals = graph_of(spans, ref, connector, seen=seen)
         one = totals.first()
         n_s, n_e, n_n = graph.services.count(), graph.edges.count(), graph.endpoints.count()
         if not n_s:
@@ -196,6 +196,22 @@ def snapshot(result: Result, start: str | None = None, end: str | None = None, i
     }
 
 
+def carry_seen(details: dict, previous: dict | None) -> dict:
+    """Evidence records with the first and last times that earlier windows saw, oldest and newest of both."""
+    if not previous:
+        return details
+    out = {}
+    for kind, records in details.items():
+        was = {r["id"]: r for r in previous["discovery"].get(kind, [])}
+        out[kind] = []
+        for r in records:
+            old = was.get(r["id"], {})
+            first = min((x for x in (r.get("first_seen"), old.get("first_seen")) if x), default=None)
+            last = max((x for x in (r.get("last_seen"), old.get("last_seen")) if x), default=None)
+            out[kind].append(canon.tidy({**r, "first_seen": first, "last_seen": last}))
+    return out
+
+
 def validate(spark: SparkSession, path: str) -> str:
     """Reads a model or snapshot artifact back: known contract, known fields, all rules. Returns the contract's key; else ValueError."""
     doc = json.loads(documents.load_text(spark, path))

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
+import logging
 from collections.abc import Callable
 from dataclasses import asdict
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from .. import canon
+from .. import canon, session
 from ..operators import discover, reconcile, windows
 from ..operators.common import shared_dir
 from ..schemas import SPANS
@@ -119,8 +121,11 @@ class Reconciling:
         self.stepped = self.spark.read.schema(stepped.schema).parquet(f"{self.folder}/stepped-{version}")
         state, self.globals = reconcile.compact(reconcile.state_of(self.stepped), end, self.globals, self.cfg)
         state.write.mode("overwrite").parquet(f"{self.folder}/version-{version}")
+        state = self.spark.read.schema(reconcile.STATE_COLUMNS).parquet(f"{self.folder}/version-{version}")
+        self.globals, self.stable_changed = reconcile.bump(self.globals, "stable", reconcile.fingerprint(reconcile.stable_core(state, self.cfg)))
+        self.globals, self.guardrail_changed = reconcile.bump(self.globals, "guardrail", reconcile.fingerprint(reconcile.guardrail_union(state, version, self.cfg)))
         self.spark.createDataFrame([(json.dumps(asdict(self.globals)),)], "value string").write.mode("overwrite").text(f"{self.folder}/globals-{version}")
-        self.state = self.spark.read.schema(reconcile.STATE_COLUMNS).parquet(f"{self.folder}/version-{version}")
+        self.state = state
 
     def report(self) -> dict:
         """The operator's report of the last window; entity lists are bounded by what is remembered."""
@@ -128,7 +133,7 @@ class Reconciling:
             return {"available": False}
         counts = {r["kind"]: {k: r[k] for k in ("candidate", "active", "stale", "retired")} for r in reconcile.lifecycle_counts(self.state).collect()}
         moves = [r.asDict() for r in reconcile.transitions(self.stepped).orderBy("kind", "id").limit(20).collect()]
-        return {"available": True, "version": self.globals.version, "health": asdict(self.health), "lifecycles": counts, "transitions": moves, "attention": [r.asDict() for r in reconcile.attention(self.stepped).select("kind", "id", "lifecycle", "miss_streak", "reason").collect()], "warnings": self.warnings}
+        return {"available": True, "version": self.globals.version, "stable_core_version": self.globals.stable_version, "guardrail_union_version": self.globals.guardrail_version, "health": asdict(self.health), "lifecycles": counts, "transitions": moves, "attention": [r.asDict() for r in reconcile.attention(self.stepped).select("kind", "id", "lifecycle", "miss_streak", "reason").collect()], "warnings": self.warnings}
 
     def summary(self) -> str:
         """The report as Markdown."""
@@ -142,6 +147,32 @@ class Reconciling:
         return "\n".join(lines) + "\n"
 
 
+class SnapshotSink:
+    """A sink that writes each window's envelope as a file, the latest one beside it, and their quality sidecars.
+
+    Windows without a service are left out; records carry what earlier windows saw, and differences are against the last one.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, latest: str, ref: str = "", patches=None):
+        self.spark, self.folder, self.latest, self.ref, self.patches = spark, folder, latest, ref or session.source_ref(listen="landing"), patches
+        self.previous: dict | None = None
+
+    def __call__(self, start: int, end: int, spans: DataFrame, ingest: dict) -> None:
+        text = lambda t: datetime.fromtimestamp(t, timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+        try:
+            result = session.discover_spans(self.spark, spans, self.ref, text(end), self.patches, "otlp", seen=True)
+        except ValueError as e:
+            logging.getLogger("spanweave").warning("window %s gives no snapshot: %s", text(start), e)
+            return
+        result.details = session.carry_seen(result.details, self.previous)
+        counts = {k: v for k, v in ingest.items() if k != "window_start"}
+        self.previous = session.snapshot(result, text(start), text(end), counts, self.previous)
+        name = f"{datetime.fromtimestamp(end, timezone.utc):%Y%m%dT%H%M%SZ}-{canon.file_stamp(self.previous['snapshot_id'])}.json"
+        for path in (f"{self.folder}/{name}", self.latest):
+            canon.write_atomic(path, canon.canonical(self.previous))
+            canon.write_atomic(canon.sidecar_path(path), canon.canonical(result.quality))
+
+
 def metrics_text(ingest: dict, diffs: dict, lifecycles: dict, version: int) -> str:
     """Counters and gauges of one window in the text exposition format."""
     lines = [f"# TYPE spanweave_{k} gauge\nspanweave_{k} {v}" for k, v in sorted(ingest.items()) if k != "window_start"]

@@ -1,3 +1,5 @@
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,9 +126,9 @@ def test_live_is_replay_and_restarts(spark, tmp_path):
         rows.append((f"t{i // 2}", f"s{i}", f"s{i - 1}" if i % 2 else "", "web" if i % 2 == 0 else "db", "GET /x", "server", i * 10**9, i * 10**9 + 10**6, {}, i, i, i, "otlp", "http"))
     df = spark.createDataFrame(rows, live.ARRIVALS)
     seen = {}
-    name = f"live-{tmp_path.name}"
-    sink = live.Reconciling(spark, name=f"state-{tmp_path.name}")
-
+    mark = uuid.uuid4().hex
+    sink = live.Reconciling(spark, name=f"state-{mark}")
+    name = f"live-{mark}"
     def both(start, end, spans, counts):
         seen[start] = counts["spans"]
         sink(start, end, spans, counts)
@@ -141,7 +143,24 @@ def test_live_is_replay_and_restarts(spark, tmp_path):
     two.start(str(landing)).awaitTermination(120)
     two.close()
     assert seen == {0: 10, 10: 10, 20: 10, 30: 10} and sink.globals.version == 4
-    again = live.Reconciling(spark, name=f"state-{tmp_path.name}")
+    again = live.Reconciling(spark, name=f"state-{mark}")
     assert again.globals.version == 4 and {r.id for r in again.state.collect()} >= {"web", "db"}
+    assert (sink.globals.stable_version, sink.stable_changed) == (2, False)
     assert "Window version 4" in sink.summary() and sink.report()["lifecycles"]["service"]["active"] == 2
     assert 'spanweave_entities{kind="service",lifecycle="active"} 2' in live.metrics_text({"spans": 10}, {"added": 1}, sink.report()["lifecycles"], 4)
+
+
+def test_snapshot_files(spark, tmp_path):
+    import json
+
+    schema = live.ARRIVALS
+    row = lambda t, s, p, service, at: (t, s, p, service, "GET /x", "server", at * 10**9, at * 10**9 + 5, {}, at, at, at, "otlp", "http")
+    one = spark.createDataFrame([row("t", "a", "", "web", 1), row("t", "b", "a", "db", 2)], schema)
+    two = spark.createDataFrame([row("u", "a", "", "web", 11)], schema)
+    sink = live.SnapshotSink(spark, str(tmp_path / "all"), str(tmp_path / "latest.json"))
+    sink(0, 10, one, {"spans": 2, "traces": 1, "dropped_spans": 0, "late_spans": 0})
+    sink(10, 20, two, {"spans": 1, "traces": 1, "dropped_spans": 0, "late_spans": 0})
+    sink(20, 30, two.where("false"), {"spans": 0, "traces": 0, "dropped_spans": 0, "late_spans": 0})
+    last = json.loads((tmp_path / "latest.json").read_text())
+    assert last["diff"]["removed_services"] == 1 and last["discovery"]["services"][0]["first_seen"] == "1970-01-01T00:00:01Z" and last["discovery"]["services"][0]["last_seen"] == "1970-01-01T00:00:11Z"
+    assert len(list((tmp_path / "all").glob("*-snap-*.json"))) == 4
