@@ -16,9 +16,9 @@ from spanweave.llm.queries import tokenizer_files
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a language (null or letterless texts); `lang` becomes what was predicted, null where unknown."""
     model = langid.train(docs)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
-    known = langid.identify(packed, model, keep=("_row",)).where("lang_pred <> 'und'")
-    return known.select(F.col("_row").withField("lang", F.col("lang_pred")).alias("_row")).select("_row.*")
+    language = langid.language_of(model, spark)(F.col("text"))
+    known = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), language["lang_pred"].alias("_lang")).where("_lang <> 'und'")
+    return known.select(F.col("_row").withField("lang", F.col("_lang")).alias("_row")).select("_row.*")
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .common import frugal, small_batches
+
 #: Distinct pieces whose ids a Python worker remembers; beyond it the memory starts anew. Changes no result.
 CACHE_PIECES = 200_000
 #: Pieces that go through the model at a time.
@@ -192,9 +194,10 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
                     columns += [_lists(x.astype(np.int32), ends) for x in coder.offsets(ids, ends)]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
+    small_batches(docs.sparkSession)
     names = ["doc_id", "ids", *["starts", "ends"] * offsets]
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType)] + [T.StructField(n, _IDS) for n in names[1:]])
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(frugal(run), schema)
 
 
 def bpe_decode(coded: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids", keep: tuple[str, ...] = (), keep_ids: bool = False) -> DataFrame:
@@ -216,7 +219,7 @@ def bpe_decode(coded: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
     names = ["doc_id", *keep, *["ids"] * keep_ids, "decoded"]
     fields = [T.StructField("doc_id", coded.schema[id_col].dataType), *[coded.schema[c] for c in keep], *[T.StructField("ids", _IDS)] * keep_ids, T.StructField("decoded", T.BinaryType())]
     none = F.array().cast("array<int>")
-    return coded.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(ids_col), none).alias("ids"), *keep).mapInArrow(run, T.StructType(fields))
+    return coded.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(ids_col), none).alias("ids"), *keep).mapInArrow(frugal(run), T.StructType(fields))
 
 
 def _lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:

@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import broadcast_if_small, materialize
+from .common import broadcast_if_small, frugal, materialize, small_batches
 from .graph import connected_components
 
 #: Words of a shingle and the similarity that links two documents.
@@ -234,8 +234,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Texts that are null, empty or without words have no links. Shorter texts than five words are one shingle. Very long
     texts are read whole. Repeated rows link to each other. Null ids are allowed; a class of null ids alone has class_id null.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
-    base = rows.mapInArrow(_describe, "doc_id long, text_key long, set_key binary, n long, bands array<long>").withColumn("rid", F.monotonically_increasing_id())
+    base = rows.mapInArrow(frugal(_describe), "doc_id long, text_key long, set_key binary, n long, bands array<long>").withColumn("rid", F.monotonically_increasing_id())
     base = materialize(base, "shingled")
 
     nodes = base.where("set_key is not null").groupBy("set_key").agg(F.min("rid").alias("rid"), F.count("*").alias("copies"), F.min("doc_id").alias("least_id"))
@@ -250,11 +251,11 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     blocks = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     members = materialize(members.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")), "blocks")
     texts = rows.join(broadcast_if_small(members, 160), rows["doc_id"].eqNullSafe(F.col("cand_id")))
-    items = texts.select("doc_id", "text", "set_key", "component", "blocks", "block", "rid", "copies").mapInArrow(_sets, "component long, blocks int, block int, rid long, copies long, items binary")
+    items = texts.select("doc_id", "text", "set_key", "component", "blocks", "block", "rid", "copies").mapInArrow(frugal(_sets), "component long, blocks int, block int, rid long, copies long, items binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     cells = items.select("*", other.alias("other")).select("component", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "rid", "copies", "items")
     cells = cells.repartition("component", "first", "second").sortWithinPartitions("component", "first", "second", "rid")
-    found = materialize(cells.mapInArrow(_compare(threshold, tolerance), "rid long, links long, lead long"), "links")
+    found = materialize(cells.mapInArrow(frugal(_compare(threshold, tolerance)), "rid long, links long, lead long"), "links")
 
     links = found.groupBy("rid").agg(F.sum("links").alias("links"))
     classes = connected_components(found.where("rid <> lead").select(F.col("rid").alias("a"), F.col("lead").alias("b"))).withColumnRenamed("node", "rid")

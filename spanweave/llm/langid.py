@@ -9,7 +9,9 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from .common import frugal, small_batches
 
 #: Labelled rows that training takes at most, over all languages; the documented bound on what reaches the driver.
 TRAIN_ROWS = 6000
@@ -113,6 +115,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
     Only (language, feature vector) pairs reach the driver. Null texts and languages teach nothing; None if no row is left.
     """
     ok = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    small_batches(labelled.sparkSession)
     counts = ok.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(rows).collect()  # a language needs a row, so no more than `rows` can be learned
     if not counts:
         return None
@@ -123,36 +126,44 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, texts, langs = (batch.column(i).to_pylist() for i in range(3))
-            own = [(k, v, np.packbits(np.zeros(0, np.uint8)).tobytes() + features(t).astype(np.float16).tobytes()) for k, t, v in zip(keys, texts, langs) if _LETTER.search(t)]
+            own = [(k, v, features(t).astype(np.float16).tobytes()) for k, t, v in zip(keys, texts, langs) if _LETTER.search(t)]
             for at in range(0, len(own), 500):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*own[at : at + 500]), (pa.int64(), pa.string(), pa.binary()))], names=["k", "lang", "x"])
 
-    sample = picked.select(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), "text").alias("k"), "text", "lang").mapInArrow(run, "k long, lang string, x binary")
+    sample = picked.select(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), "text").alias("k"), "text", "lang").mapInArrow(frugal(run), "k long, lang string, x binary")
     got = sorted(sample.orderBy("k").limit(rows).collect(), key=lambda r: (r["k"], r["lang"]))
     if not got:
         return None
     return LanguageModel.fit(np.stack([np.frombuffer(r["x"], np.float16) for r in got]).astype(np.float32), [r["lang"] for r in got])
 
 
-def identify(docs: DataFrame, model: LanguageModel | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(*keep, lang_pred, score): the language of each whole text; keep names columns that pass through unread.
+def language_of(model: LanguageModel | None, spark: SparkSession):
+    """A function of a text column to struct<lang_pred, score>; only texts go to Python and only answers come back.
 
-    `und` with score 0 if the text is null, empty or has no letter, or if nothing was learned. Very long texts are read in
-    parts; repeated rows give repeated rows, an empty table an empty result.
+    `und` with score 0 if the text is null, empty or has no letter, or if nothing was learned. Texts are read whole.
     """
-    model_b = docs.sparkSession.sparkContext.broadcast(model)  # its size follows the number of languages, not the rows
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = model_b.value
-        for batch in batches:
-            texts = batch.column(len(keep)).to_pylist()
-            pred, score = ["und"] * len(texts), [0.0] * len(texts)
-            known = [i for i, t in enumerate(texts) if own is not None and t and _LETTER.search(t)]
-            for at in range(0, len(known), 256):
-                part = known[at : at + 256]
-                for i, (lang, p) in zip(part, own.predict(np.stack([features(texts[i]) for i in part]))):
+    small_batches(spark)
+    model_b = spark.sparkContext.broadcast(model)  # its size follows the number of languages, not the rows
+
+    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    def language(texts: pa.Array) -> pa.Array:
+        own, n = model_b.value, len(texts)
+        pred, score = ["und"] * n, [0.0] * n
+        for a in range(0, n, 256):
+            known = [(i, t) for i, t in enumerate(texts.slice(a, 256).to_pylist(), a) if own is not None and t and _LETTER.search(t)]
+            if known:
+                for (i, _), (lang, p) in zip(known, own.predict(np.stack([features(t) for _, t in known]))):
                     pred[i], score[i] = lang, p
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
+        return pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
 
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("_text")).mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return language.asNondeterministic()  # or a filter on the answer would ask twice
+
+
+def identify(docs: DataFrame, model: LanguageModel | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(*keep, lang_pred, score): the language of each whole text; keep names columns that pass through unread.
+
+    See language_of. Repeated rows give repeated rows, an empty table an empty result.
+    """
+    language = language_of(model, docs.sparkSession)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_keep"), language(F.col(text_col)).alias("_language"))
+    return rows.select("_keep.*", "_language.*")

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import BROADCAST_BYTES, materialize
+from .common import BROADCAST_BYTES, frugal, materialize
 from .jaccard import mix, rolling, word_hashes
 
 #: Words of a window.
@@ -198,7 +198,7 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError(f"a window has more than {ANCHOR} words")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    base = rows.mapInArrow(_anchor_rows(window), f"doc_id {kind}, digest binary, n_words long, places array<int>, hashes array<long>").withColumn("rid", F.monotonically_increasing_id())
+    base = rows.mapInArrow(frugal(_anchor_rows(window)), f"doc_id {kind}, digest binary, n_words long, places array<int>, hashes array<long>").withColumn("rid", F.monotonically_increasing_id())
     base = materialize(base, "anchors")
     texts = materialize(base.where(F.col("n_words") >= window).groupBy("digest").agg(F.min("rid").alias("rid"), F.count("*").alias("copies")), "texts")
 
@@ -210,7 +210,7 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marks = materialize(marks, "candidates")
 
     found = rows.join(_sized(marks, F.size("places") * 5 + 64), rows["doc_id"].eqNullSafe(F.col("cand_id")))
-    suffixes = found.select("rid", "digest", "places", "heavy", "text").mapInArrow(_suffixes(window), "k1 long, k2 long, rid long, pos int, heavy boolean")
+    suffixes = found.select("rid", "digest", "places", "heavy", "text").mapInArrow(frugal(_suffixes(window)), "k1 long, k2 long, rid long, pos int, heavy boolean")
     prefix = F.when(F.col("heavy"), F.xxhash64("k1", "k2")).otherwise(F.shiftright("k1", 32))
     salt = F.when(F.col("heavy"), F.pmod(F.xxhash64("rid", "pos"), F.lit(SALTS))).otherwise(0)
     grouped = suffixes.repartition(prefix, salt).sortWithinPartitions("k1", "k2", "rid", "pos")
@@ -271,4 +271,4 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ranges = _sized(ranges.withColumnRenamed("doc_id", "own_id"), size + 16)
     joined = rows.join(ranges, rows["doc_id"].eqNullSafe(F.col("own_id")), "left").select("doc_id", "text", "repeats")
     kind = docs.schema[id_col].dataType.simpleString()
-    return joined.mapInArrow(_drop, f"doc_id {kind}, n_words long, n_removed long, kept string")
+    return joined.mapInArrow(frugal(_drop), f"doc_id {kind}, n_words long, n_removed long, kept string")
