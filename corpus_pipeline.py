@@ -40,8 +40,7 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """doc_id, lang, source, ids, n_tokens and whether the ids decode to the text's bytes."""
     ranks, pattern = tokenizer_files()
     packed = docs.select(F.struct("doc_id", "lang", "source", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha")).alias("_row"), "text")
-    coded = bpe.bpe_encode(packed, ranks, pattern, id_col="_row")
-    back = bpe.bpe_decode(coded, ranks, pattern, keep_ids=True)
+    back = bpe.bpe_encode(packed, ranks, pattern, id_col="_row", decoded=True)  # one Python worker for both ways
     return back.select("doc_id.doc_id", "doc_id.lang", "doc_id.source", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.sha2("decoded", 256) == F.col("doc_id.sha")).alias("round_trip"))
 
 

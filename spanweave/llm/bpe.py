@@ -175,9 +175,9 @@ def decoder(ranks_path: str) -> Decoder:
 _IDS = T.ArrayType(T.IntegerType(), False)
 
 
-def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False) -> DataFrame:
+def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False, decoded: bool = False) -> DataFrame:
     """(id, ids array<int>) of whole texts, in the id column's type; with offsets also starts and ends array<int>, the
-    character offsets of each token.
+    character offsets of each token; with decoded also the bytes that the ids decode to, made in the same pass.
 
     Each match of the pattern is encoded on its own by the tokenizers library's BPE; equal pieces of a batch are encoded
     once. No special tokens: their strings are ordinary text. Null text counts as empty, an empty text has no ids; very long
@@ -192,11 +192,13 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
                 columns = [batch.column(0).slice(a, b - a), _lists(ids, ends)]
                 if offsets:
                     columns += [_lists(x.astype(np.int32), ends) for x in coder.offsets(ids, ends)]
+                if decoded:
+                    columns.append(_binaries(*coder.decode(ids, ends)))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     small_batches(docs.sparkSession)
-    names = ["doc_id", "ids", *["starts", "ends"] * offsets]
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType)] + [T.StructField(n, _IDS) for n in names[1:]])
+    names = ["doc_id", "ids", *["starts", "ends"] * offsets, *["decoded"] * decoded]
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType)] + [T.StructField(n, T.BinaryType() if n == "decoded" else _IDS) for n in names[1:]])
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(frugal(run), schema)
 
 
@@ -213,7 +215,7 @@ def bpe_decode(coded: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
                 part = lists.slice(a, b - a)
                 ids = part.flatten().to_numpy(zero_copy_only=False)
                 data, cuts = coder.decode(ids, np.concatenate([[0], np.cumsum(counts[a:b])]))
-                decoded = pa.BinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+                decoded = _binaries(data, cuts)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *[batch.column(2 + i).slice(a, b - a) for i in range(len(keep))], *[part] * keep_ids, decoded], names=names)
 
     names = ["doc_id", *keep, *["ids"] * keep_ids, "decoded"]
@@ -226,6 +228,10 @@ def _lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
 
 
+def _binaries(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+
+
 def portions(sizes: list[int], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Runs of rows whose sizes sum up to about `most`, one row at least."""
     a, total = 0, 0

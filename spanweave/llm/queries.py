@@ -22,9 +22,9 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = tokenizer_files()
-    coded = bpe.bpe_encode(read(spark, sf_dir, "documents"), ranks, pattern)
-    coded = coded.withColumns({"n_tokens": F.size("ids").cast("long"), "ids_sha256": F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256)})
-    return bpe.bpe_decode(coded, ranks, pattern, keep=("n_tokens", "ids_sha256")).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = bpe.bpe_encode(read(spark, sf_dir, "documents"), ranks, pattern, decoded=True)
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

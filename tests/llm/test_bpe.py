@@ -37,10 +37,10 @@ def test_as_tiktoken(text):
 
 def test_documents(spark, reference):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    coded = bpe_encode(docs, RANKS, PATTERN, offsets=True)
+    coded = bpe_encode(docs, RANKS, PATTERN, offsets=True, decoded=True)
     texts = {r.doc_id: r.text for r in docs.collect()}
     for r in coded.collect():
-        assert r.ids == reference.encode_ordinary(texts[r.doc_id])
+        assert r.ids == reference.encode_ordinary(texts[r.doc_id]) and bytes(r.decoded).decode() == texts[r.doc_id]
         assert len(r.starts) == len(r.ids) and (not r.ids or (r.starts[0] == 0 and r.ends[-1] == len(texts[r.doc_id])))
     for r in bpe_decode(coded, RANKS, PATTERN).collect():
         assert bytes(r.decoded).decode() == texts[r.doc_id]
