@@ -11,9 +11,9 @@ from .queries import register
 DAY, CAP = 86_400, 250
 
 
-def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _arrivals(spark: SparkSession, sf_dir: str, view: str = views.V_ARRIVALS) -> DataFrame:
     views.register(spark, sf_dir, "events")
-    return spark.sql(views.spark_sql(views.V_ARRIVALS))
+    return spark.sql(views.spark_sql(view))
 
 
 def _assigned(spark: SparkSession, sf_dir: str, policy: str = "drop") -> DataFrame:
@@ -109,15 +109,15 @@ def source_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _world(spark: SparkSession, sf_dir: str) -> tuple[list, DataFrame]:
-    """A graph for each day: event types are services, pairs of a user's kept events edges, users endpoints."""
-    assigned = windows.assign(_arrivals(spark, sf_dir), 5 * DAY, 10_000)
+    """A graph for each five days: event types are services, pairs of a user's successive kept events edges, users endpoints."""
+    assigned = windows.assign(_arrivals(spark, sf_dir, views.V_USER_ARRIVALS), 5 * DAY, 10_000)
     kept = assigned.where("kept")
     none = F.lit(None).cast("string")
     s = kept.groupBy("window_start", F.col("service").alias("id")).agg(F.count("*").alias("observations")).select("window_start", F.lit("service").alias("kind"), "id", none.alias("source"), none.alias("target"), "observations")
     before = F.lag("service").over(Window.partitionBy("window_start", "trace_id").orderBy("seq"))
-    e = kept.withColumn("source", before).where("source <> service and pmod(seq, 61) = 0").groupBy("window_start", "source", F.col("service").alias("target")).agg(F.count("*").alias("observations"))
+    e = kept.withColumn("source", before).where("source <> service").groupBy("window_start", "source", F.col("service").alias("target")).agg(F.count("*").alias("observations"))
     e = e.select("window_start", F.lit("edge").alias("kind"), F.concat_ws("|", "source", "target").alias("id"), "source", "target", "observations")
-    n = kept.where("pmod(seq, 17) = 0").groupBy("window_start", "trace_id").agg(F.min("service").alias("source"), F.count("*").alias("observations"))
+    n = kept.where("trace_id is not null").groupBy("window_start", "trace_id").agg(F.min("service").alias("source"), F.count("*").alias("observations"))
     n = n.select("window_start", F.lit("endpoint").alias("kind"), F.col("trace_id").alias("id"), "source", none.alias("target"), "observations")
     rows = s.unionByName(e).unionByName(n).withColumn("strength", F.lit(reconcile.TRACES))
     counts = windows.dense_windows(windows.ingest_counts(assigned), 5 * DAY).orderBy("window_start").collect()  # one row per window, which the fold takes in order
