@@ -1,0 +1,25 @@
+from types import SimpleNamespace
+
+import numpy as np
+import pyarrow as pa
+
+from spanweave.llm import lm
+from spanweave.llm.queries import tokenizer_files
+
+RANKS, PATTERN = tokenizer_files()
+
+
+def test_runs_hold_every_word():
+    for n in (1, 47, 48, 49, 768, 769, 5000):
+        assert [k for i, j in lm.training_runs([b"w%d" % k for k in range(n)]) for k in range(i, j)] == list(range(n))
+
+
+def test_every_token_is_a_target_once():
+    coder = lm.codec(RANKS, PATTERN)
+    model = lm.new_model(np.ones(len(coder.lengths) + 1))
+    texts = [" ".join(f"word{k}" for k in range(3000)), "a b c", "", None, " ".join(f"w{k % 7}" for k in range(100))]
+    table = lm.WordTable(coder, {})
+    n_ids = sum(len(table.ids_of(table.look_up(lm.words_of(t)), np.array([0, len(lm.words_of(t))]))[0]) for t in texts)
+    (out,) = lm._train(SimpleNamespace(value=model), RANKS, PATTERN)(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])]))
+    seen = dict(zip(out.column(0).to_pylist(), out.column(1).to_pylist()))
+    assert seen[len(model.rows) - 1] == n_ids + len(texts)  # the biases take part once for each target; each text has an end
