@@ -25,6 +25,14 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
+#: Whole licences whose text holds no notice that is a template: for files of which they are all.
+WHOLE = (
+    ("MIT", "MIT License Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+)
+
+#: Lines of a wrapped notice, at most, and its words as a multiple of those of the longest template.
+SPAN_LINES, SPAN_LENGTH = 12, 2
+
 #: Least cosine at which a line or file carries a template's licence.
 THRESHOLD = 0.75
 #: What the name of a licence file looks like.
@@ -41,11 +49,11 @@ def vocabulary(templates=TEMPLATES) -> list[str]:
     return sorted({w for _, text in templates for w in tokens(text)})
 
 
-def weights(templates, idf: dict[str, float]) -> list[tuple[int, str, float]]:
-    """(template, word, weight) of unit vectors."""
+def weights(templates, idf: dict[str, float], rest: float | None = None) -> list[tuple[int, str, float]]:
+    """(template, word, weight) of unit vectors; rest: weight of a word without idf."""
     out = []
     for k, (_, text) in enumerate(templates):
-        own = {w: n * idf[w] for w, n in sorted(Counter(tokens(text)).items())}
+        own = {w: n * (idf[w] if rest is None else idf.get(w, rest)) for w, n in sorted(Counter(tokens(text)).items())}
         length = math.sqrt(sum(x * x for x in own.values()))
         out += [(k, w, x / length) for w, x in own.items()]
     return out
@@ -67,12 +75,31 @@ def signature_words(unit: list[tuple[int, str, float]], threshold: float) -> set
     return out
 
 
+def wrapped(files: DataFrame, line_sign: str, most: int) -> DataFrame:
+    """(rid, line): runs of 2 to SPAN_LINES consecutive lines with a signature word and at most `most` words in all.
+
+    Runs begin and end in a line with words, since empty ones add nothing. All runs of a file are made inside its row.
+    """
+    ls = files.where("text is not null").select("rid", F.split("text", "\n").alias("ls")).where(F.size("ls") > 1)
+    ls = ls.select("rid", "ls", F.transform("ls", lambda x: F.lower(x).rlike(line_sign)).alias("sg"), F.transform("ls", lambda x: F.size(F.regexp_extract_all(F.lower(x), F.lit(f"({_TOKEN})")))).alias("ns"))
+    starts = F.filter(F.sequence(F.lit(1), F.size("ls") - 1), lambda i: F.element_at("ns", i).between(1, most) & F.exists(F.slice("sg", i, SPAN_LINES), lambda x: x))
+    runs = ls.select("rid", "ls", "sg", "ns", starts.alias("starts")).where(F.size("starts") > 0)
+
+    def of(i):
+        lengths = F.sequence(F.lit(2), F.least(F.lit(SPAN_LINES), F.size("ls") - i + 1))
+        fits = lambda n: (F.element_at("ns", i + n - 1) > 0) & F.exists(F.slice("sg", i, n), lambda x: x) & (F.aggregate(F.slice("ns", i, n), F.lit(0), lambda a, b: a + b) <= most)
+        return F.transform(F.filter(lengths, fits), lambda n: F.array_join(F.slice("ls", i, n), "\n"))
+
+    return runs.select("rid", F.explode(F.flatten(F.transform("starts", of))).alias("line"))
+
+
 def scan_licenses(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, path, own_license, own_score, license, license_path): one row per file.
 
     1. Document frequencies of the templates' words are counted over all whole texts; a word of no template counts as
-    unseen. 2. Each line of each file, and each licence file as a whole, is compared with every template by the cosine of
-    their TF-IDF vectors; lines without a signature word cannot reach the threshold and are left out first. The best
+    unseen. 2. Each line of each file, each run of consecutive lines of a notice's length (a wrapped notice), and each licence
+    file as a whole, is compared with every template and every text of WHOLE by the cosine of their TF-IDF vectors; lines and
+    runs without a signature word cannot reach a template's threshold and are left out first. The best
     template of a file (ties: its name, then its place) gives own_license. 3. A file without one takes that of the licence file
     in the nearest directory above, its own first; of several there the best score, then the smallest path.
     Ancestors are made once for each distinct directory and joined by path.
@@ -92,14 +119,18 @@ def scan_licenses(files: DataFrame, id_col: str = "doc_id", path_col: str = "pat
     idf = {w: math.log((1 + df.get("", 0)) / (1 + df.get(w, 0))) + 1 for w in words}
     rest = math.log(1 + df.get("", 0)) + 1
     unit = weights(templates, idf)
+    names = [name for name, _ in (*templates, *WHOLE)]
+    whole = [(len(templates) + k, w, x) for k, w, x in weights(WHOLE, idf, rest)]
+    most = SPAN_LENGTH * max(len(tokens(text)) for _, text in templates)
     sign = "|".join(sorted(signature_words(unit, threshold)))
 
-    slim = materialize(rows.select("doc_id", "path", named.alias("named"), F.when(F.lower("text").rlike(rf"(?<![a-z0-9])({sign})(?![a-z0-9])"), F.col("text")).alias("text")).withColumn("rid", F.monotonically_increasing_id()), "files")
-    lines = slim.select("rid", F.explode(F.split("text", "\n")).alias("line")).where(F.lower("line").rlike(rf"(?<![a-z0-9])({sign})(?![a-z0-9])"))
-    units = lines.unionByName(slim.where("named and text is not null").select("rid", F.col("text").alias("line")))
+    line_sign = rf"(?<![a-z0-9])({sign})(?![a-z0-9])"
+    slim = materialize(rows.select("doc_id", "path", named.alias("named"), F.when(named | F.lower("text").rlike(line_sign), F.col("text")).alias("text")).withColumn("rid", F.monotonically_increasing_id()), "files")
+    lines = slim.select("rid", F.explode(F.split("text", "\n")).alias("line")).where(F.lower("line").rlike(line_sign))
+    units = lines.unionByName(wrapped(slim, line_sign, most)).unionByName(slim.where("named and text is not null").select("rid", F.col("text").alias("line")))
     units = units.distinct()
     idf_rows = spark.createDataFrame([(w, x) for w, x in idf.items()], "word string, idf double")
-    vectors = spark.createDataFrame([(t, templates[t][0], w, x) for t, w, x in unit], "template int, name string, word string, weight double")
+    vectors = spark.createDataFrame([(t, names[t], w, x) for t, w, x in unit + whole], "template int, name string, word string, weight double")
     token = units.select("rid", "line", F.explode(F.regexp_extract_all(F.lower("line"), F.lit(f"({_TOKEN})"))).alias("word"))
     key = ["rid", F.xxhash64("line").alias("unit")]
     tf = token.select(*key, "word").groupBy("rid", "unit", "word").agg(F.count("*").alias("n"))
