@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import frugal, small_batches
+from .common import frugal, portions, small_batches
 
 #: Distinct pieces whose ids a Python worker remembers; beyond it the memory starts anew. Changes no result.
 CACHE_PIECES = 200_000
@@ -230,15 +230,3 @@ def _lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
 
 def _binaries(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
-
-
-def portions(sizes: list[int], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
-    """Runs of rows whose sizes sum up to about `most`, one row at least."""
-    a, total = 0, 0
-    for i, n in enumerate(sizes):
-        if total and total + n > most:
-            yield a, i
-            a, total = i, 0
-        total += n
-    if a < len(sizes):
-        yield a, len(sizes)

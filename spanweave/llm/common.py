@@ -32,11 +32,14 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once as Parquet in the shared folder and reads it back: lineage is cut and any executor may be lost."""
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Writes df once as Parquet in the shared folder and reads it back: lineage is cut and any executor may be lost.
+
+    by: a column with few values, each of which gets a folder, so that reading one leaves the others alone.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -86,3 +89,15 @@ def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
                 pass  # not glibc
 
     return wrapped
+
+
+def portions(sizes: list[int], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
+    """Runs of rows whose sizes sum up to about `most`, one row at least."""
+    a, total = 0, 0
+    for i, n in enumerate(sizes):
+        if total and total + n > most:
+            yield a, i
+            a, total = i, 0
+        total += n
+    if a < len(sizes):
+        yield a, len(sizes)

@@ -1,14 +1,8 @@
-import math
-import random
 import zlib
 
-import numpy as np
-import pytest
+from spanweave.llm import langid
+from spanweave.llm.queries import op4_langid
 
-from spanweave.llm import langid, lm
-from spanweave.llm.queries import op4_langid, tokenizer_files
-
-RANKS, PATTERN = tokenizer_files()
 SF = "/root/testdata/sf0.01"
 
 
@@ -33,134 +27,3 @@ def test_language_edges(spark):
     assert langid.identify(df.limit(0), model).count() == 0
     one = langid.train(df.where("lang = 'en'"))
     assert {r.lang_pred for r in langid.identify(df, one).collect()} == {"und", "en"}
-
-
-def tiny_model(n=40):
-    rng = np.random.default_rng(1)
-    model = lm.new_model(rng.integers(0, 50, n).astype(float))
-    model.rows[: -lm.CLASSES // lm.DIM] = rng.normal(0, 0.5, (len(model.rows) - lm.CLASSES // lm.DIM, lm.DIM))
-    return model
-
-
-def naive(model, ids):
-    """One position at a time, in plain loops."""
-    e, p, wq, wk, wv, wo, c, b = [x.astype(float) for x in model.parts()]
-    targets = [*ids, model.n_ids]
-    inputs = [model.n_ids, *ids]
-    total = 0.0
-    for t in range(len(targets)):
-        first = t // lm.SCORED * lm.SCORED - lm.CONTEXT
-        xs = [e[inputs[i]] + p[i - first] for i in range(max(0, first), t + 1)]
-        q = xs[-1] @ wq / lm.DIM**0.5
-        a = np.exp([q @ (x @ wk) for x in xs])
-        h = sum(w * (x @ wv) for w, x in zip(a / a.sum(), xs)) @ wo + xs[-1]
-        z = h @ c.T + b
-        total += (z[model.of[targets[t]]] - math.log(np.exp(z).sum())) / math.log(10) + model.inner[targets[t]]
-    return total
-
-
-def test_batches_score_each_token_once():
-    model, rng = tiny_model(), random.Random(4)
-    texts = [[rng.randrange(model.n_ids) for _ in range(n)] for n in (0, 1, 15, 16, 17, 100)]
-    got = lm.score_sequences(model, np.array([i for t in texts for i in t], np.int64), np.cumsum([0, *map(len, texts)]), at_once=3)
-    assert got == pytest.approx([naive(model, t) for t in texts], rel=1e-4)
-
-
-def test_probabilities_sum_to_one():
-    model = tiny_model()
-    every = range(model.n_ids)
-    one = lm.score_sequences(model, np.array(list(every)), np.arange(model.n_ids + 1))
-    end = naive(model, [])
-    first = [10 ** (one[i] - (naive(model, [i]) - first_of(model, i))) for i in every]
-    assert sum(first) + 10**end == pytest.approx(1, rel=1e-3)
-
-
-def first_of(model, i):
-    return naive_prefix(model, [i])
-
-
-def naive_prefix(model, ids):
-    """log10 probability of the ids without an end."""
-    e, p, wq, wk, wv, wo, c, b = [x.astype(float) for x in model.parts()]
-    x = e[model.n_ids] + p[lm.CONTEXT]
-    z = (x @ wv @ wo + x) @ c.T + b
-    return (z[model.of[ids[0]]] - math.log(np.exp(z).sum())) / math.log(10) + model.inner[ids[0]]
-
-
-def test_overflow_takes_the_bounded_way():
-    model = tiny_model()
-    model.rows[-lm.CLASSES - lm.CLASSES // lm.DIM : -lm.CLASSES // lm.DIM] *= 500
-    assert np.isfinite(lm.score_sequences(model, np.arange(30), np.array([0, 30]))).all()
-
-
-def test_gradient_of_a_step():
-    model = tiny_model()
-    rng = np.random.default_rng(3)
-    ids = rng.integers(0, model.n_ids, 40)
-    first, start, stop = lm.blocks(np.array([0, 40]))
-    at, there = lm.positions(first, start, stop)
-    targets = rng.integers(0, model.n_ids, 40)
-
-    def loss(m):
-        z = lm._forward(m, ids[at], there)[-1].astype(float)
-        own = there[:, lm.CONTEXT :]
-        t = m.of[targets[at[:, lm.CONTEXT :]]]
-        picked = np.take_along_axis(z, t[:, :, None], 2)[:, :, 0]
-        return (np.log(np.exp(z).sum(axis=2)) - picked)[own].mean()
-
-    trainer = lm.Trainer(model, rate=1e-3)
-    trainer.square[:] = 1
-    before = trainer.model.rows.copy()
-    trainer.step(ids[at], there, targets[at[:, lm.CONTEXT :]])
-    moved = (before - trainer.model.rows) / 1e-3
-    for row in [*ids[:3], model.n_ids + 1 + lm.CONTEXT, model.n_ids + 1 + lm.SPAN + 2, model.n_ids + 1 + lm.SPAN + lm.DIM + 1, model.n_ids + 1 + lm.SPAN + 3 * lm.DIM + 5, len(model.rows) - 5]:
-        up, down = tiny_model(), tiny_model()
-        up.rows[row, 3] += 1e-2
-        down.rows[row, 3] -= 1e-2
-        slope = (loss(up) - loss(down)) / 2e-2
-        assert moved[row, 3] == pytest.approx(slope, rel=0.08, abs=2e-4)
-
-
-def test_lm_scores(spark):
-    from pyspark.sql import functions as F
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 300").select("doc_id", "text", F.lit("x").alias("score"))
-    docs = docs.unionByName(spark.createDataFrame([(900, None, "x"), (901, "", "x"), (None, "the The", "x"), (901, "", "x"), (902, "zzzz " * 30_000, "x")], "doc_id long, text string, score string"))
-    learn = F.coalesce(F.col("doc_id") % 3 != 0, F.lit(True))
-    got = lm.lm_score(docs.drop("score"), learn, RANKS, PATTERN).collect()
-    rows = [(r.doc_id, (r.text or "").encode().lower().split()) for r in docs.collect()]
-    counts = {}
-    for d, w in rows:
-        if d is None or d % 3:
-            for x in [*w, None]:
-                counts[x] = counts.get(x, 0) + 1
-    n, v = sum(counts.values()), len(counts)
-    want = sorted((str(d), len(w) + 1, sum(x in counts for x in [*w, None]), n, round(sum(math.log10((counts.get(x, 0) + 1) / (n + v + 1)) for x in [*w, None]), 4)) for d, w in rows)
-    assert sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
-    assert all(r.score < 0 for r in got)
-    empty = lm.lm_score(docs.where("doc_id < 3").drop("score"), F.lit(False), RANKS, PATTERN).collect()
-    assert all(r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0 for r in empty)
-    assert lm.lm_score(docs.limit(0).drop("score"), F.lit(True), RANKS, PATTERN).count() == 0
-
-
-def test_training_helps_on_held_out_text(spark):
-    from pyspark.sql import functions as F
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    learn = docs.where(F.col("doc_id") % 5 != 0)
-    counts = learn.select("text").mapInArrow(lm._count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    trained = lm.train(learn, counts, RANKS, PATTERN)
-    start = lm.new_model(10 ** trained.inner)  # same shape; its own biases
-    held = [r.text for r in docs.where(F.col("doc_id") % 5 == 0).limit(60).collect()]
-    table = lm.WordTable(lm.codec(RANKS, PATTERN), {})
-    rows = [lm.words_of(t) for t in held]
-    ids, ends = table.ids_of(table.look_up([w for r in rows for w in r]), np.cumsum([0, *map(len, rows)]))
-    start.of, start.inner = trained.of, trained.inner
-    assert lm.score_sequences(trained, ids, ends).sum() > lm.score_sequences(start, ids, ends).sum()
-
-
-def test_training_runs_cover_every_document():
-    words = [b"w%d" % i for i in range(5000)]
-    runs = lm.training_runs(words)
-    assert len(runs) == -(-5000 // (lm.RUN * lm.EVERY)) and all(0 <= a < b <= 5000 for a, b in runs)
-    assert lm.training_runs([]) == [(0, 0)] and lm.training_runs(words[:3]) == [(0, 3)]
