@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import ascii_lower, materialize
+from .common import ascii_lower, broadcast_if_small, materialize
 
 #: Most candidate heavy digests that the sketch returns, hence the bound on what is broadcast (one row of under 200 bytes each).
 HEAVY_CANDIDATES = 1024
@@ -54,11 +54,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that exact_dedup drops, all columns kept.
 
-    A kept row is found again by (id, digest). Repeated rows with equal id and equal normalised text are one document,
-    so one of them stays.
+    A dropped row is found again by (id, digest); the dropped names alone meet the rows, so where they are few no text is
+    shuffled, and otherwise once. Repeated rows with equal id and equal normalised text are one document: one of them stays.
     """
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha"))
+    rows = exact_dedup(docs, id_col, text_col).where("group_size > 1").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha"), "kept")
+    kept = F.max(F.col("kept").cast("int")).alias("kept")
+    gone = rows.groupBy("gone_id", "gone_sha").agg(kept, F.count("*").alias("n")).where("kept = 0 or n > 1")
+    gone = materialize(gone, "dropped")
     digest = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256)
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), digest.alias("_sha"))
-    out = marked.join(kept, F.col("_id").eqNullSafe(F.col("_keep_id")) & (F.col("_sha") == F.col("_keep_sha")), "left_semi")
-    return out.dropDuplicates(["_id", "_sha"]).select("_row.*")
+    named = F.col("_id").eqNullSafe(F.col("gone_id")) & (F.col("_sha") == F.col("gone_sha"))
+    out = marked.join(broadcast_if_small(gone, 120), named, "left_anti").select("_row")
+    again = gone.where("kept = 1")
+    if not again.limit(1).count():
+        return out.select("_row.*")
+    once = marked.join(broadcast_if_small(again, 120), named, "left_semi").dropDuplicates(["_id", "_sha"]).select("_row")
+    return out.unionByName(once).select("_row.*")

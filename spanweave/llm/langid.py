@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import frugal, small_batches
+from .common import frugal, portions, small_batches
 
 #: Labelled rows that training takes at most, over all languages; the documented bound on what reaches the driver.
 TRAIN_ROWS = 6000
@@ -49,16 +51,21 @@ def features(text: str, dim: int = DIM) -> np.ndarray:
     return out / max(float(np.linalg.norm(out)), 1e-9)
 
 
-def _svm(x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, l2: float = L2) -> np.ndarray:
-    """Linear SVM (weights, then bias) by averaged subgradient descent on the squared hinge loss; classes weigh alike."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
-    w = np.zeros(x.shape[1], np.float32)
+def _svm(parts: list[tuple[np.ndarray, float]], epochs: int = EPOCHS, l2: float = L2) -> np.ndarray:
+    """Linear SVM (weights, then bias) by subgradient descent with momentum on the squared hinge loss; both sides weigh alike.
+
+    parts: (feature rows, +1 or -1), views of one matrix, which is never copied.
+    """
+    n = {side: sum(len(x) for x, y in parts if y == side) for side in (1.0, -1.0)}
+    w = np.zeros(parts[0][0].shape[1] + 1, np.float32)
     velocity = np.zeros_like(w)
-    for step in range(epochs * 10):
-        slack = np.maximum(0, 1 - y * (x @ w))
-        gradient = l2 * w - 2 * ((weight * slack * y) @ x)
-        velocity = 0.9 * velocity - 0.2 * gradient
+    for _ in range(epochs * 10):
+        gradient = np.float32(l2) * w
+        for x, y in parts:
+            pull = np.maximum(0, 1 - np.float32(y) * (x @ w[:-1] + w[-1])) * np.float32(y / max(1, n[y]))  # twice half a side's share
+            gradient[:-1] -= pull @ x
+            gradient[-1] -= pull.sum()
+        velocity = np.float32(0.9) * velocity - np.float32(0.2) * gradient
         w = w + velocity
     return w
 
@@ -72,23 +79,20 @@ class LanguageModel:
 
     @classmethod
     def fit(cls, x: np.ndarray, lang: list[str]) -> LanguageModel:
+        """x: feature rows, those of a language one after the other (lang ascends)."""
         labels = np.array(lang)
-        of = np.array([family_of(v) for v in lang])
-        families = sorted(set(of.tolist()))
-        family_w = np.stack([_svm(x, np.where(of == f, 1.0, -1.0).astype(np.float32)) for f in families]) if len(families) > 1 else np.zeros((len(families), x.shape[1] + 1), np.float32)
-        langs = {f: sorted(set(labels[of == f].tolist())) for f in families}
-        pairs = {}
-        for f, own in langs.items():
-            pairs[f] = []
-            for i, j in combinations(range(len(own)), 2):
-                at = (labels == own[i]) | (labels == own[j])
-                pairs[f].append((i, j, _svm(x[at], np.where(labels[at] == own[i], 1.0, -1.0).astype(np.float32))))
+        of = {v: x[np.searchsorted(labels, v) : np.searchsorted(labels, v, "right")] for v in sorted(set(lang))}
+        families = sorted(set(map(family_of, of)))
+        langs = {f: [v for v in of if family_of(v) == f] for f in families}
+        family_w = np.zeros((len(families), x.shape[1] + 1), np.float32)
+        if len(families) > 1:
+            family_w = np.stack([_svm([(rows, 1.0 if v in langs[f] else -1.0) for v, rows in of.items()]) for f in families])
+        pairs = {f: [(i, j, _svm([(of[own[i]], 1.0), (of[own[j]], -1.0)])) for i, j in combinations(range(len(own)), 2)] for f, own in langs.items()}
         return cls(families, family_w, langs, pairs)
 
     def predict(self, x: np.ndarray) -> list[tuple[str, float]]:
         """Language and score: the family's share (a logistic of its margin over the best other) times the winner's mean duel."""
-        x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-        margins = x @ self.family_w.T
+        margins = x @ self.family_w[:, :-1].T + self.family_w[:, -1]
         out = []
         for row, m in zip(x, margins):
             best = int(m.argmax())
@@ -99,7 +103,7 @@ class LanguageModel:
             duels = np.zeros(len(own))
             wins = np.zeros(len(own))
             for i, j, w in self.pairs[family]:
-                d = float(row @ w)
+                d = float(row @ w[:-1] + w[-1])
                 p = 1 / (1 + np.exp(-4.0 * d))
                 duels[i] += p
                 duels[j] += 1 - p
@@ -110,9 +114,10 @@ class LanguageModel:
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", rows: int = TRAIN_ROWS) -> LanguageModel | None:
-    """Fits on at most `rows` labelled rows: languages share them alike, chosen by a hash of the id, whole texts.
+    """Fits on at most `rows` labelled rows: languages share them alike, chosen by a hash of id and text, whole texts.
 
-    Only (language, feature vector) pairs reach the driver. Null texts and languages teach nothing; None if no row is left.
+    One task fits the model, so it holds `rows` feature vectors of 4 * DIM bytes and no more; only the weights reach the driver.
+    Null texts and languages teach nothing; None if no row is left.
     """
     ok = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     small_batches(labelled.sparkSession)
@@ -121,20 +126,29 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
         return None
     each = max(1, rows // len(counts))
     share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 1.2 * each / r["count"]))) for r in counts], F.lit(0.0))
-    picked = ok.where(F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit(""))), F.lit(1 << 20)) < share * (1 << 20))
+    keyed = ok.select(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), "text").alias("k"), "text", "lang")
+    picked = keyed.where(F.pmod("k", F.lit(1 << 20)) < share * (1 << 20))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, texts, langs = (batch.column(i).to_pylist() for i in range(3))
-            own = [(k, v, features(t).astype(np.float16).tobytes()) for k, t, v in zip(keys, texts, langs) if _LETTER.search(t)]
-            for at in range(0, len(own), 500):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*own[at : at + 500]), (pa.int64(), pa.string(), pa.binary()))], names=["k", "lang", "x"])
-
-    sample = picked.select(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), "text").alias("k"), "text", "lang").mapInArrow(frugal(run), "k long, lang string, x binary")
-    got = sorted(sample.orderBy("k").limit(rows).collect(), key=lambda r: (r["k"], r["lang"]))
-    if not got:
-        return None
-    return LanguageModel.fit(np.stack([np.frombuffer(r["x"], np.float16) for r in got]).astype(np.float32), [r["lang"] for r in got])
+            for a, b in portions(pc.binary_length(batch.column(1)).to_pylist()):
+                keys, texts, langs = (batch.column(i).slice(a, b - a).to_pylist() for i in range(3))
+                own = [(k, v, features(t).astype(np.float16).tobytes()) for k, t, v in zip(keys, texts, langs) if _LETTER.search(t)]
+                for at in range(0, len(own), 500):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*own[at : at + 500]), (pa.int64(), pa.string(), pa.binary()))], names=["k", "lang", "x"])
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted((k, v, x) for batch in batches for k, v, x in zip(*(c.to_pylist() for c in batch.columns)))
+        got.sort(key=lambda r: r[1])
+        if got:
+            x = np.empty((len(got), DIM), np.float32)
+            for i, row in enumerate(got):
+                x[i] = np.frombuffer(row[2], np.float16)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(LanguageModel.fit(x, [r[1] for r in got]))], pa.binary())], names=["model"])
+
+    sample = picked.mapInArrow(frugal(describe), "k long, lang string, x binary")
+    fitted = sample.orderBy("k", "lang").limit(rows).mapInArrow(frugal(fit), "model binary").first()  # the limit leaves one partition
+    return pickle.loads(fitted["model"]) if fitted else None
 
 
 def language_of(model: LanguageModel | None, spark: SparkSession):
