@@ -1,51 +1,46 @@
-"""Substring deduplication: suffixes in prefix partitions, suffix trees in array form, deep nodes as maximal repeats."""
+"""Substring deduplication: suffixes in prefix partitions, a suffix tree for each, deep internal nodes as maximal repeats."""
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import BROADCAST_BYTES, frugal, materialize
-from .jaccard import mix, rolling, word_hashes
+from .common import BROADCAST_BYTES, frugal, materialize, portions
+from .jaccard import rolling, word_hashes
 
 #: Words of a window.
 WINDOW = 35
 #: Words of an anchor, the run whose repetition any repeated window must contain.
 ANCHOR = 8
-#: A prefix whose anchor occurs more often than this is lengthened to the whole window and salted over SALTS groups.
-HEAVY, SALTS = 2000, 32
-#: Labels of a suffix: the window is cut into so many runs of words, each one 32-bit letter of the tree's alphabet.
-LETTERS = 4
+#: Places of an anchor that make one group, at most (each of about 500 bytes); beyond it prefixes go on to the window's end.
+GROUP_PLACES = 4096
+#: Window starts whose anchors are found at a time, and places whose trees are built at a time.
+STARTS, PLACES = 1 << 20, 20_000
 
-_POSITION = np.uint64((1 << 28) - 1)
 
+def anchors(hashes: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> np.ndarray:
+    """Anchor position of each window start: that of the smallest ANCHOR-gram within the window, the first of equal ones.
 
-def anchors(hashes: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
-    """(anchor position of each window start, hash of the anchor at each position): the smallest ANCHOR-gram within the
-    window, the first of equal ones. Equal windows have their anchor at the same place, as it depends on their words alone.
+    Equal windows have their anchor at the same place, as it depends on their words alone. Made in parts, so any length will do.
     """
-    grams = rolling(hashes, anchor)
-    span = window - anchor + 1
-    least = (grams & ~_POSITION) | np.arange(len(grams), dtype=np.uint64)  # 36 bits of hash, 28 of position
-    width = 1
-    while 2 * width <= span:
-        least = np.minimum(least[:-width], least[width:])
-        width *= 2
-    starts = len(hashes) - window + 1
-    least = np.minimum(least[:starts], least[span - width : span - width + starts])
-    return (least & _POSITION).astype(np.int64), grams
-
-
-def letters(hashes: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """The first WINDOW words of every suffix as LETTERS 32-bit letters, two to an int64."""
-    starts = len(hashes) - window + 1
-    cuts = [window * k // LETTERS for k in range(LETTERS + 1)]
-    parts = [rolling(hashes, cuts[k + 1] - cuts[k])[cuts[k] : cuts[k] + starts] >> np.uint64(32) for k in range(LETTERS)]
-    return tuple(((parts[2 * k] << np.uint64(32)) | parts[2 * k + 1]).view(np.int64) for k in range(LETTERS // 2))
+    span, out = window - anchor + 1, []
+    bits = np.uint64((2 * STARTS).bit_length())
+    for a in range(0, len(hashes) - window + 1, STARTS):
+        part = hashes[a : a + STARTS + window - 1]
+        grams = rolling(part, anchor)
+        least = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64)
+        width = 1
+        while 2 * width <= span:
+            least = np.minimum(least[:-width], least[width:])
+            width *= 2
+        starts = len(part) - window + 1
+        least = np.minimum(least[:starts], least[span - width : span - width + starts])
+        out.append((least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64) + a)
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -54,221 +49,260 @@ def _words(text: str | None) -> list[bytes]:
 
 def _anchor_rows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(k1, k2, text) to the anchors of the texts that have a window."""
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.slice(at, 1000)
-                digests, counts, places, hashes = [], [], [], []
-                for text in part.column(1).to_pylist():
+            for a, b in portions(pc.binary_length(batch.column(2)).to_pylist()):
+                part, rows = batch.slice(a, b - a), []
+                for i, text in enumerate(part.column(2).to_pylist()):
                     words = _words(text)
-                    digests.append(hashlib.sha256(b" ".join(words)).digest())
-                    counts.append(len(words))
-                    p = g = np.zeros(0, np.int64)
                     if len(words) >= window:
-                        p, g = anchors(word_hashes(words), window)
-                        p = np.unique(p)
-                        g = g[p].view(np.int64)
-                    places.append(p.astype(np.int32))
-                    hashes.append(g)
-                ends = pa.array(np.cumsum([0, *map(len, places)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(counts, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(places))), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(hashes)))], names=["doc_id", "digest", "n_words", "places", "hashes"])
+                        h = word_hashes(words)
+                        p = np.unique(anchors(h, window))
+                        rows.append((i, len(words), p.astype(np.int32), rolling(h, ANCHOR)[p].view(np.int64)))
+                if rows:
+                    at, n, places, hashes = zip(*rows)
+                    ends = pa.array(np.cumsum([0, *map(len, places)]).astype(np.int32))
+                    own = part.take(pa.array(at))
+                    yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(n, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(places))), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(hashes)))], names=["k1", "k2", "n_words", "places", "hashes"])
 
     return run
 
 
-def _suffixes(window: int):
+def _around(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(rid, digest, places, heavy, text) of candidates to their suffixes whose window has a repeated anchor."""
+        """(rid, places, text) to each place of an anchor, with the hashes of the words of all windows that have it.
+
+        Their starts run from lo to hi; the words from lo to the end of the last window.
+        """
         for batch in batches:
-            for rid, digest, places, heavy, text in zip(*(c.to_pylist() for c in batch.columns)):
-                words = _words(text)
-                if len(words) < window or hashlib.sha256(b" ".join(words)).digest() != digest:
-                    continue
-                h = word_hashes(words)
-                at, _ = anchors(h, window)
-                mark = np.zeros(len(words), np.int8)
-                mark[places] = np.where(heavy, 2, 1)
-                kind = mark[at]
-                start = np.nonzero(kind)[0]
-                k1, k2 = letters(h, window)
-                for a in range(0, len(start), 200_000):
-                    s = start[a : a + 200_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(k1[s]), pa.array(k2[s]), pa.array(np.full(len(s), rid)), pa.array(s.astype(np.int32)), pa.array(kind[s] == 2)], names=["k1", "k2", "rid", "pos", "heavy"])
+            for rid, places, text in zip(*(c.to_pylist() for c in batch.columns)):
+                h = word_hashes(_words(text))
+                at = anchors(h, window)
+                grams = rolling(h, ANCHOR).view(np.int64)
+                first = np.nonzero(np.diff(at, prepend=-1))[0]
+                last = np.append(first[1:], len(at)) - 1
+                mine = np.isin(at[first], np.array(places))
+                first, last = first[mine], last[mine]
+                for a in range(0, len(first), 5000):
+                    lo, hi = first[a : a + 5000], last[a : a + 5000]
+                    place = at[lo]
+                    n = hi - lo + window
+                    ends = np.cumsum(n)
+                    flat = h[np.repeat(lo - (ends - n), n) + np.arange(int(ends[-1]))]
+                    data = pa.Array.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer((8 * np.concatenate([[0], ends])).astype(np.int32)), pa.py_buffer(flat)])
+                    yield pa.RecordBatch.from_arrays([pa.array(grams[place]), pa.array(np.full(len(lo), rid)), pa.array(place.astype(np.int32)), pa.array(lo.astype(np.int32)), data], names=["hash", "rid", "place", "lo", "words"])
 
     return run
 
 
-def deep_nodes(k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
-    """Of suffixes in sorted order, the number of the deep internal node that each one hangs below.
+def _whole_windows(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(rid, places, text) to each window start that has its anchor there, with 128 bits of hash of the window's words."""
+        half = window // 2
+        for batch in batches:
+            for rid, places, text in zip(*(c.to_pylist() for c in batch.columns)):
+                h = word_hashes(_words(text))
+                mark = np.zeros(len(h), bool)
+                mark[places] = True
+                start = np.nonzero(mark[anchors(h, window)])[0]
+                k1, k2 = (rolling(h, n)[skip : skip + len(h) - window + 1].view(np.int64) for n, skip in ((half, 0), (window - half, half)))
+                for a in range(0, len(start), 100_000):
+                    s = start[a : a + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(k1[s]), pa.array(k2[s]), pa.array(np.full(len(s), rid)), pa.array(s.astype(np.int32))], names=["k1", "k2", "rid", "pos"])
+
+    return run
 
-    The longest common prefix with the suffix before, in letters, is the suffix tree's array form; a node of the window's
-    depth is a run of suffixes that have all letters in common with their neighbours, and what lies below it repeats.
-    """
-    def top(x: np.ndarray) -> np.ndarray:
-        return x.view(np.uint64) >> np.uint64(32)
 
-    lcp = np.zeros(len(k1), np.int8)
-    same = np.ones(max(0, len(k1) - 1), bool)
-    for letter in (top(k1), k1, top(k2), k2):
-        same = same & (letter[1:] == letter[:-1])
-        lcp[1:] += same
-    return np.cumsum(lcp < LETTERS) - 1
+def descend(node: np.ndarray, letter: np.ndarray) -> np.ndarray:
+    """One level of the trees: each string's node below `node` by its next letter; -1 once a string is alone (a leaf's edge)."""
+    out = np.full(len(node), -1, np.int64)
+    live = np.nonzero(node >= 0)[0]
+    if len(live):
+        live = live[np.lexsort((letter[live], node[live]))]
+        new = np.empty(len(live), bool)
+        new[0] = True
+        new[1:] = (node[live[1:]] != node[live[:-1]]) | (letter[live[1:]] != letter[live[:-1]])
+        number = np.cumsum(new) - 1
+        out[live] = np.where(np.bincount(number)[number] > 1, number, -1)
+    return out
 
 
-def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted suffixes of prefix groups to (rid, pos, state, k1, k2).
+def deep_nodes(group: np.ndarray, place: np.ndarray, lo: np.ndarray, words: np.ndarray, ends: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """[places, offsets]: does the suffix that starts `offset` words before the place hang below an internal node of the window's depth?
 
-    state 0: repeated. 1: alone below its node in this salted group. 2: stands for the repeats below a node of a salted group.
-    A node's suffixes may go over several batches, so the last node of a batch is held back as its first suffix, its last
-    and the number held; memory is that of two batches.
+    words[ends[i]:ends[i + 1]] are those of place i from lo[i] on; places of a group have the anchor's words in common.
+    A suffix's prefix goes from its start to the end of its anchor; below it the tree goes down one word a level. Suffixes of
+    a group share the words right of the anchor, so those levels are made once for all offsets, and the words left of it
+    likewise; the node at the window's depth is the pair of both.
     """
-    def emit(rid, pos, state, k1, k2):
-        none = pa.array(state == 0)
-        return pa.RecordBatch.from_arrays([pa.array(rid), pa.array(pos), pa.array(state.astype(np.int8)), pa.array(k1, mask=none.to_numpy(False)), pa.array(k2, mask=none.to_numpy(False))], names=["rid", "pos", "state", "k1", "k2"])
-
-    def settle(k1, k2, rid, pos, heavy, repeated_before):
-        node = deep_nodes(k1, k2)
-        first = np.nonzero(np.diff(node, prepend=-1))[0]
-        last = np.append(first[1:], len(node)) - 1
-        many = (rid[first] != rid[last]) | (pos[first] != pos[last])  # sorted, so a row that came twice is no repeat
-        many[0] |= repeated_before
-        below = many[node]
-        state = np.where(below, 0, 1)
-        keep = below | heavy
-        parts = [emit(rid[keep], pos[keep], state[keep], k1[keep], k2[keep])]
-        stand = first[many & heavy[first]]
-        if len(stand):
-            parts.append(emit(rid[stand], pos[stand], np.full(len(stand), 2), k1[stand], k2[stand]))
-        return parts
-
-    held, repeated = None, False
-    for batch in batches:
-        if not len(batch):
-            continue
-        now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-        if held is not None:
-            if (held[0][-1], held[1][-1]) == (now[0][0], now[1][0]):
-                now = [np.concatenate([a, b]) for a, b in zip(held, now)]
-            else:
-                yield from settle(*held, repeated)
-                repeated = False
-        node = deep_nodes(now[0], now[1])
-        cut = int(np.searchsorted(node, node[-1]))
-        if cut:
-            yield from settle(*(x[:cut] for x in now), repeated)
-            repeated = False
-            now = [x[cut:] for x in now]
-        if len(now[0]) > 50_000:  # one node over several batches: what is known to repeat goes out, its last suffix stays
-            several = repeated or now[2][0] != now[2][-1] or now[3][0] != now[3][-1]
-            if several:
-                yield from settle(*(x[:-1] for x in now), True)
-                repeated = True
-            now = [x[-1:] for x in now]
-        held = now
-    if held is not None:
-        yield from settle(*held, repeated)
+    left, right = window - ANCHOR, window
+    n, before = np.diff(ends), place - lo
+    where = before[:, None] + np.arange(-left, right)
+    there = (where >= 0) & (where < n[:, None])
+    letter = words[np.where(there, where + ends[:-1, None], 0)]
+    root = descend(np.zeros(len(group), np.int64), group)
+    lefts, rights = [root], {}
+    for o in range(1, left + 1):
+        lefts.append(descend(np.where(there[:, left - o], lefts[-1], -1), letter[:, left - o]))
+    node = root
+    for r in range(right):
+        node = descend(np.where(there[:, left + r], node, -1), letter[:, left + r])
+        rights[r + 1] = node
+    out = np.zeros((len(group), left + 1), bool)
+    last = before + window - n  # the smallest offset of a start
+    for o in range(left + 1):
+        mine = np.nonzero((o <= before) & (o >= last) & (lefts[o] >= 0) & (rights[window - o] >= 0))[0]
+        out[mine, o] = descend(lefts[o][mine], rights[window - o][mine]) >= 0
+    return out
+
+
+def _trees(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(hash, rid, place, lo, words) sorted by hash to the repeated starts [from, to) of each place; whole groups at a time."""
+
+        def settle(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+            table = pa.Table.from_batches(rows).combine_chunks()
+            group, rid, place, lo = (table.column(i).to_numpy().astype(np.int64) for i in range(4))
+            data = b"".join(table.column(4).to_pylist())
+            ends = np.concatenate([[0], np.cumsum(pc.binary_length(table.column(4)).to_numpy() // 8)]).astype(np.int64)
+            again = deep_nodes(group, place, lo, np.frombuffer(data, np.uint64), ends, window)[:, ::-1]  # by start, ascending
+            edge = np.diff(np.pad(again.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+            (i, a), (_, b) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+            first = place[i] - (window - ANCHOR)
+            return pa.RecordBatch.from_arrays([pa.array(rid[i]), pa.array((first + a).astype(np.int32)), pa.array((first + b).astype(np.int32))], names=["rid", "from", "to"])
+
+        held, n = [], 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            hashes = batch.column(0).to_numpy()
+            cuts = np.concatenate([[0], np.nonzero(np.diff(hashes))[0] + 1, [len(batch)]])
+            at = 0
+            if held and held[-1].column(0)[len(held[-1]) - 1].as_py() != hashes[0] and n >= PLACES:
+                yield settle(held)
+                held, n = [], 0
+            while at < len(batch):
+                room = max(at + 1, at + PLACES - n)
+                cut = int(cuts[np.searchsorted(cuts, min(room, len(batch)))])  # where a group ends
+                held.append(batch.slice(at, cut - at))
+                n += cut - at
+                at = cut
+                if n >= PLACES and at < len(batch):
+                    yield settle(held)
+                    held, n = [], 0
+        if held:
+            yield settle(held)
+
+    return run
 
 
 def _ranges(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Window starts of a document to the word ranges [from, to) that they cover."""
+        """Repeated starts [from, to) of a text to its maximal repeats, the word ranges [start, stop) that they cover."""
         for batch in batches:
             out = []
-            for rid, starts in zip(batch.column(0).to_pylist(), batch.column(1)):
-                s = np.unique(starts.values.to_numpy(zero_copy_only=False))
-                new = np.nonzero(np.diff(s, prepend=-(10**9)) > window)[0]
-                out.append((rid, s[new].tolist(), (s[np.append(new[1:], len(s)) - 1] + window).tolist()))
+            for rid, runs in zip(batch.column(0).to_pylist(), batch.column(1)):
+                a, b = (runs.values.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+                order = np.argsort(a, kind="stable")
+                a, b = a[order], np.maximum.accumulate(b[order] + window - 1)
+                new = np.nonzero(np.concatenate([[True], a[1:] > b[:-1]]))[0]
+                out.append((rid, a[new].tolist(), b[np.append(new[1:], len(a)) - 1].tolist()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())))], names=["rid", "starts", "stops"])
 
     return run
 
 
-def _sized(df: DataFrame, row_bytes) -> DataFrame:
+def _sized(df: DataFrame, row_bytes: Column, limit: int) -> DataFrame:
     """A broadcast hint if the table's rows, by the given measure, are few enough bytes."""
     total = df.agg(F.sum(row_bytes)).first()[0] or 0
-    return F.broadcast(df) if total <= 2 * BROADCAST_BYTES else df
+    return F.broadcast(df) if total <= limit else df
 
 
-def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(doc_id, repeats array<struct<digest, starts, stops>>): the word ranges to remove, one row per id that has some.
+def _keyed(docs: DataFrame, text_col: str, *own: Column) -> DataFrame:
+    """Texts under 128 bits of hash, by which they are found again: equal texts have equal repeats, whatever their ids."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), text.alias("text"), *own)
 
-    A digest (SHA-256 of the words joined by one space) tells the texts of a repeated id apart. See drop_repeats.
+
+def repeated_ranges(docs: DataFrame, text_col: str = "text", window: int = WINDOW, group_places: int = GROUP_PLACES, limit: int = 2 * BROADCAST_BYTES) -> DataFrame:
+    """(k1, k2, starts, stops): the word ranges to remove, one row per distinct text that has some. See drop_repeats.
+
+    limit: bytes of a table that may be broadcast; beyond it both sides are shuffled.
     """
     if not ANCHOR < window:
         raise ValueError(f"a window has more than {ANCHOR} words")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    base = rows.mapInArrow(frugal(_anchor_rows(window)), f"doc_id {kind}, digest binary, n_words long, places array<int>, hashes array<long>").withColumn("rid", F.monotonically_increasing_id())
-    base = materialize(base, "anchors")
-    texts = materialize(base.where(F.col("n_words") >= window).groupBy("digest").agg(F.min("rid").alias("rid"), F.count("*").alias("copies")), "texts")
+    rows = _keyed(docs, text_col)
+    base = rows.mapInArrow(frugal(_anchor_rows(window)), "k1 long, k2 long, n_words long, places array<int>, hashes array<long>")
+    base = materialize(base.withColumn("rid", F.monotonically_increasing_id()), "anchors")
+    texts = materialize(base.groupBy("k1", "k2").agg(F.min("rid").alias("rid"), F.count("*").alias("copies"), F.min("n_words").alias("n_words")), "texts")
 
     first = base.join(texts.select("rid"), "rid", "left_semi")
     places = first.select("rid", F.explode(F.arrays_zip("hashes", "places")).alias("a")).select("rid", F.col("a.hashes").alias("hash"), F.col("a.places").alias("place"))
-    again = places.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
-    marks = places.join(again, "hash").groupBy("rid").agg(F.collect_list(F.struct("place", (F.col("n") > HEAVY).alias("heavy"))).alias("m"))
-    marks = marks.join(base.select("rid", F.col("doc_id").alias("cand_id"), "digest"), "rid").select("rid", "cand_id", "digest", F.col("m.place").alias("places"), F.col("m.heavy").alias("heavy"))
-    marks = materialize(marks, "candidates")
-
-    found = rows.join(_sized(marks, F.size("places") * 5 + 64), rows["doc_id"].eqNullSafe(F.col("cand_id")))
-    suffixes = found.select("rid", "digest", "places", "heavy", "text").mapInArrow(frugal(_suffixes(window)), "k1 long, k2 long, rid long, pos int, heavy boolean")
-    prefix = F.when(F.col("heavy"), F.xxhash64("k1", "k2")).otherwise(F.shiftright("k1", 32))
-    salt = F.when(F.col("heavy"), F.pmod(F.xxhash64("rid", "pos"), F.lit(SALTS))).otherwise(0)
-    grouped = suffixes.repartition(prefix, salt).sortWithinPartitions("k1", "k2", "rid", "pos")
-    trees = materialize(grouped.mapInArrow(_trees, "rid long, pos int, state tinyint, k1 long, k2 long"), "repeats")
-    salted = trees.where("state > 0")
-    across = salted.groupBy("k1", "k2").agg(F.count_distinct("rid", "pos").alias("n")).where("n > 1").select("k1", "k2")
-    rest = salted.where("state = 1").join(across, ["k1", "k2"], "left_semi").select("rid", "pos")
-    starts = trees.where("state = 0").select("rid", "pos").unionByName(rest).groupBy("rid").agg(F.collect_list("pos").alias("pos"))
-    ranges = starts.mapInArrow(_ranges(window), "rid long, starts array<int>, stops array<int>")
-
-    texts = texts.join(ranges, "rid", "left").select("digest", "copies", "starts", "stops")
-    whole = F.array(F.lit(0)), F.array(F.col("n_words").cast("int"))
-    own = base.select("doc_id", "digest", "n_words").join(texts, "digest").where("copies > 1 or starts is not null")
-    own = own.select("doc_id", "digest", F.when(F.col("copies") > 1, whole[0]).otherwise(F.col("starts")).alias("starts"), F.when(F.col("copies") > 1, whole[1]).otherwise(F.col("stops")).alias("stops"))
-    return own.groupBy("doc_id").agg(F.collect_set(F.struct("digest", "starts", "stops")).alias("repeats"))
+    again = materialize(places.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"), "repeated-anchors")  # written, so that a hot anchor's join can be split
+    marks = places.join(again, "hash").groupBy("rid").agg(F.collect_list(F.struct("place", (F.col("n") > group_places).alias("heavy"))).alias("m"))  # a text's anchors, fewer than its words
+    marks = materialize(marks.join(texts, "rid").select("rid", "k1", "k2", "copies", "m"), "candidates")
+
+    def found(heavy: bool) -> DataFrame:
+        """(rid, places, text) of one copy of each text that has such places."""
+        mine = F.filter("m", lambda x: x["heavy"] == F.lit(heavy))
+        own = marks.select("rid", "k1", "k2", "copies", F.transform(mine, lambda x: x["place"]).alias("places")).where(F.size("places") > 0)
+        one = rows.join(_sized(own.where("copies = 1"), F.size("places") * 4 + 64, limit), ["k1", "k2"]).select("rid", "places", "text")
+        more = rows.join(_sized(own.where("copies > 1"), F.size("places") * 4 + 64, limit), ["k1", "k2"])
+        return one.unionByName(more.groupBy("rid").agg(F.first("places").alias("places"), F.first("text").alias("text")))
+
+    around = found(False).mapInArrow(frugal(_around(window)), "hash long, rid long, place int, lo int, words binary")
+    around = around.repartition("hash").sortWithinPartitions("hash")
+    runs = materialize(around.mapInArrow(frugal(_trees(window)), "rid long, from int, to int"), "repeats")
+    if not again.where(F.col("n") > group_places).isEmpty():
+        whole = materialize(found(True).mapInArrow(frugal(_whole_windows(window)), "k1 long, k2 long, rid long, pos int"), "windows")
+        many = materialize(whole.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2"), "repeated-windows")
+        runs = runs.unionByName(whole.join(many, ["k1", "k2"]).select("rid", F.col("pos").alias("from"), (F.col("pos") + 1).alias("to")))
+    ranges = runs.groupBy("rid").agg(F.collect_list(F.struct("from", "to")).alias("runs")).mapInArrow(frugal(_ranges(window)), "rid long, starts array<int>, stops array<int>")
+
+    ranges = texts.join(ranges, "rid", "left").where("copies > 1 or starts is not null")
+    own = F.col("copies") > 1  # a copied text repeats from its first window to its last
+    return ranges.select("k1", "k2", F.when(own, F.array(F.lit(0))).otherwise(F.col("starts")).alias("starts"), F.when(own, F.array(F.col("n_words").cast("int"))).otherwise(F.col("stops")).alias("stops"))
 
 
 def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, len(batch), 1000):
-            part = batch.slice(at, 1000)
+        for a, b in portions(pc.binary_length(batch.column(1)).to_pylist()):
+            part = batch.slice(a, b - a)
             kept, counts, removed = [], [], []
-            for text, repeats in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+            for text, starts, stops in zip(*(part.column(i).to_pylist() for i in (1, 2, 3))):
                 words = _words(text)
                 left = words
-                if repeats:
-                    digest = hashlib.sha256(b" ".join(words)).digest()
-                    for r in repeats:
-                        if r["digest"] == digest:
-                            left, end = [], 0
-                            for a, b in zip(r["starts"], r["stops"]):
-                                left += words[end:a]
-                                end = b
-                            left += words[end:]
+                if starts:
+                    left, end = [], 0
+                    for x, y in zip(starts, stops):
+                        left += words[end:x]
+                        end = y
+                    left += words[end:]
                 kept.append(b" ".join(left))
                 counts.append(len(words))
                 removed.append(len(words) - len(left))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
 
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, group_places: int = GROUP_PLACES, limit: int = 2 * BROADCAST_BYTES) -> DataFrame:
     """One row per input row: (doc_id, n_words, n_removed, kept): the words outside any repeated window, joined by one space.
 
     A window is `window` consecutive words of one document; it is repeated if its words also start anywhere else, in the
     same document too. All windows are judged on the input.
     1. Equal texts are one text with a count; if it is over one, all its windows repeat. 2. A window's anchor is its
-    smallest 8-word run; only suffixes whose anchor occurs twice are followed. 3. Suffixes are dealt out by a prefix: its
-    first words, or, where the anchor is frequent, the whole window and a salt. 4. Each group is sorted into the array form
-    of its suffix tree, whose nodes at the window's depth are the repeats; what is alone in a salted group is looked up
-    among the other salts' nodes. 5. Starts become word ranges of their document, which the last scan of the texts leaves out.
-
-    Null or empty texts have no words and keep the empty text; texts shorter than a window stay whole. Very long texts are
-    read whole. Repeated rows are copies, so all windows of both go. Null ids are allowed. Empty table, empty result.
+    smallest 8-word run; only suffixes whose anchor occurs twice are followed. 3. A suffix's prefix is what goes from its start to
+    the end of its anchor, so prefixes vary in length, and suffixes are dealt out by the anchor. The places of each anchor are
+    counted; where they are more than `group_places`, prefixes go on to the window's end and are counted where they are. 4. Each
+    group is a suffix tree, built a word a level from its prefixes; an internal node of the window's depth is a repeat.
+    5. Repeated starts become the maximal repeats of their text, which the last scan of the texts leaves out.
+
+    Words are compared by 64 bits of hash each. Null or empty texts have no words and keep the empty text; texts shorter than a
+    window stay whole. Very long texts are read whole. Repeated rows are copies, so all windows of both go. Ids may be null
+    or repeated: texts are found again by their hash. Other columns of docs are ignored. Empty table, empty result.
     """
-    ranges = materialize(repeated_ranges(docs, id_col, text_col, window), "ranges")
-    size = F.aggregate("repeats", F.lit(0).cast("long"), lambda n, r: n + 64 + 8 * F.size(r["starts"]))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    ranges = _sized(ranges.withColumnRenamed("doc_id", "own_id"), size + 16)
-    joined = rows.join(ranges, rows["doc_id"].eqNullSafe(F.col("own_id")), "left").select("doc_id", "text", "repeats")
+    ranges = materialize(repeated_ranges(docs, text_col, window, group_places, limit), "ranges")
+    ranges = _sized(ranges, 8 * F.size("starts") + 64, limit)
+    joined = _keyed(docs, text_col, F.col(id_col).alias("doc_id")).join(ranges, ["k1", "k2"], "left").select("doc_id", "text", "starts", "stops")
     kind = docs.schema[id_col].dataType.simpleString()
     return joined.mapInArrow(frugal(_drop), f"doc_id {kind}, n_words long, n_removed long, kept string")

@@ -100,9 +100,8 @@ def brute_drop(rows, w):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("heavy", [2, 2000])
-def test_drop_repeats_is_brute_force(spark, heavy, monkeypatch):
-    monkeypatch.setattr(substrings, "HEAVY", heavy)
+@pytest.mark.parametrize("group_places, limit", [(1, 0), (3, 1 << 30), (4096, 0)])
+def test_drop_repeats_is_brute_force(spark, group_places, limit):
     rng = random.Random(11)
     passage = [words(rng, 40, 50) for _ in range(3)]
     rows = []
@@ -114,9 +113,10 @@ def test_drop_repeats_is_brute_force(spark, heavy, monkeypatch):
             own[10:10] = p[a : a + rng.choice([11, 12, 25])]
         rows.append((k, " ".join(own)))
     rows += [(100, "a " * 300), (101, None), (102, rows[5][1]), (None, rows[7][1]), (103, "Case " * 12), (104, "case " * 12), (105, " ".join(words(rng, 13, 9) * 2))]
+    rows += [(106, " ".join(words(rng, 30_000, 3))), (None, " ".join(passage[0])), (None, " ".join(passage[1][:20])), (100, " ".join(passage[0][5:]))]
     rows += [rows[9]]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, kept string, rid int")
-    got = substrings.drop_repeats(df, window=12)
+    got = substrings.drop_repeats(df, window=12, group_places=group_places, limit=limit)
     assert sorted(map(tuple, got.collect()), key=str) == brute_drop(rows, 12)
 
 
@@ -127,16 +127,31 @@ def test_drop_repeats_empty_and_window(spark):
         substrings.drop_repeats(df, window=8)
 
 
-def test_one_node_over_many_batches():
+def test_groups_stay_whole_over_batches(monkeypatch):
     import pyarrow as pa
 
-    n = 120_000
+    monkeypatch.setattr(substrings, "PLACES", 10)
+    rng, window = np.random.default_rng(2), 12
+    text = rng.integers(0, 1 << 60, 12, np.uint64)
+    groups = np.sort(rng.integers(0, 40, 900))
+    groups[200:330] = groups[200]
+    groups.sort()
+
     def batch(a, b):
-        k = np.full(b - a, 7, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(k), pa.array(np.arange(a, b)), pa.array(np.zeros(b - a, np.int32)), pa.array(np.zeros(b - a, bool))], names=["k1", "k2", "rid", "pos", "heavy"])
+        n = b - a
+        data = pa.array([(text + np.uint64(g)).tobytes() for g in groups[a:b]], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(groups[a:b]), pa.array(np.arange(a, b)), pa.array(np.full(n, 4, np.int32)), pa.array(np.full(n, 0, np.int32)), data], names=["hash", "rid", "place", "lo", "words"])
+
+    out = [x for b in substrings._trees(window)(iter([batch(a, a + 7) for a in range(0, 896, 7)])) for x in b.column(0).to_pylist()]
+    many = np.bincount(groups[:896]) > 1
+    assert sorted(out) == [i for i in range(896) if many[groups[i]]]
+
 
-    out = list(substrings._trees(iter([batch(a, a + 10_000) for a in range(0, n, 10_000)])))
-    assert sorted(x for b in out for x in b.column(0).to_pylist()) == list(range(n))
+def test_anchors_of_long_texts(monkeypatch):
+    h = np.random.default_rng(1).integers(0, 50, 3000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    whole = substrings.anchors(h)
+    monkeypatch.setattr(substrings, "STARTS", 64)
+    assert (substrings.anchors(h) == whole).all() and len(whole) == 2966
 
 
 def test_words_split_at_ascii_white_space_only(spark):
