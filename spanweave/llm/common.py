@@ -58,6 +58,12 @@ def id_crc(column: Column) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary"))
 
 
+def text_keys(text_col: str, *names: str) -> tuple[Column, Column]:
+    """128 bits of hash, by which a text is found again whatever its row's id; null counts as empty."""
+    text, (one, two) = F.coalesce(F.col(text_col), F.lit("")), names or ("k1", "k2")
+    return F.xxhash64(text).alias(one), F.xxhash64(F.lit(1), text).alias(two)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -8,10 +8,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import broadcast_if_small, frugal, materialize, small_batches
+from .common import broadcast_if_small, frugal, materialize, portions, small_batches, text_keys
 from .graph import connected_components
 
 #: Words of a shingle and the similarity that links two documents.
@@ -92,23 +93,28 @@ def least_matches(n: int, threshold: float, tolerance: float) -> int:
     return n + 1
 
 
-def similar_pairs(sets: list[np.ndarray], others: list[np.ndarray] | None, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs with Jaccard >= threshold, within sets (i < j) or between sets and others."""
-    within = others is None
-    right = sets if within else others
-    n = BANDS * ROWS
-    sa = np.stack([minhash(s) for s in sets])
-    sb = sa if within else np.stack([minhash(s) for s in right])
-    i, j = np.triu_indices(len(sets), 1) if within else (x.ravel() for x in np.indices((len(sets), len(right))))
+def close_pairs(sa: np.ndarray, sb: np.ndarray | None, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of signatures that the posterior leaves, within sa (i < j) or between sa and sb: values are compared STEP at a time."""
+    right, n = sa if sb is None else sb, BANDS * ROWS
+    i, j = np.triu_indices(len(sa), 1) if sb is None else (x.ravel() for x in np.indices((len(sa), len(right))))
     matches = np.zeros(len(i), np.int32)
     for at in range(0, n, STEP):
         for part in range(0, len(i), 200_000):
             p = slice(part, part + 200_000)
-            matches[p] += (sa[i[p], at : at + STEP] == sb[j[p], at : at + STEP]).sum(axis=1, dtype=np.int32)
+            matches[p] += (sa[i[p], at : at + STEP] == right[j[p], at : at + STEP]).sum(axis=1, dtype=np.int32)
         stay = matches >= least_matches(min(n, at + STEP), threshold, tolerance)
         i, j, matches = i[stay], j[stay], matches[stay]
         if not len(i):
-            return i, j
+            break
+    return i, j
+
+
+def similar_pairs(sets: list[np.ndarray], others: list[np.ndarray] | None, i: np.ndarray, j: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the index pairs with Jaccard >= threshold, within sets or between sets and others."""
+    within = others is None
+    right = sets if within else others
+    if not len(i):
+        return i, j
     na, nb = np.array([len(s) for s in sets]), np.array([len(s) for s in right])
     if len(i) <= 64:
         shared = np.array([len(np.intersect1d(sets[a], right[b], assume_unique=True)) for a, b in zip(i.tolist(), j.tolist())])
@@ -147,45 +153,91 @@ def _set_key(items: np.ndarray) -> bytes | None:
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, k1, k2, text) to the text's set key, size and bands."""
     for batch in batches:
-        for at in range(0, len(batch), 1000):
-            part = batch.slice(at, 1000)
-            sets = [shingles(t) for t in part.column(1).to_pylist()]
+        for a, b in portions(pc.binary_length(batch.column(3)).to_pylist()):
+            part = batch.slice(a, b - a)
+            sets = [shingles(t) for t in part.column(3).to_pylist()]
             keys = [band_keys(minhash(s)).tolist() if len(s) else [] for s in sets]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([_set_key(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_key", "set_key", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([_set_key(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "k1", "k2", "set_key", "n", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingle sets of the candidates; a row whose text has another set than the candidate's (a repeated id) is left out."""
+    """(rid, copies, text) of the candidates to their signatures and shingle sets."""
     for batch in batches:
-        for at in range(0, len(batch), 200):
-            part = batch.slice(at, 200)
-            sets = [shingles(t) for t in part.column(1).to_pylist()]
-            same = pa.array([_set_key(s) == k for s, k in zip(sets, part.column(2).to_pylist())], pa.bool_())
-            data = pa.array([s.tobytes() for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(part.column(k).filter(same) for k in range(3, len(part.columns))), data.filter(same)], names=[*part.schema.names[3:], "items"])
-
-
-def _compare(threshold: float, tolerance: float):
-    def cell(rows: list[tuple]) -> list[tuple[int, int, int]]:
-        """rows: (first, second, block, rid, copies, items) of one cell, to (rid, links found here, smallest rid linked to here)."""
-        seen = {}
-        for r in rows:
-            seen.setdefault(r[3], r)
-        rows = list(seen.values())
-        within = rows[0][0] == rows[0][1]
-        left = [r for r in rows if within or r[2] == rows[0][0]]
-        right = left if within else [r for r in rows if r[2] == rows[0][1]]
-        if not left or not right:
-            return []
-        a, b = [np.frombuffer(r[5], np.uint64) for r in left], [np.frombuffer(r[5], np.uint64) for r in right]
-        i, j = similar_pairs(a, None if within else b, threshold, tolerance)
+        for a, b in portions(pc.binary_length(batch.column(2)).to_pylist(), 300_000):
+            part = batch.slice(a, b - a)
+            sets = [shingles(t) for t in part.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array([minhash(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rid", "copies", "signature", "items"])
+
+
+class Cell:
+    """Rows of two blocks of a group, or of one: (grp, first, second, by_band, block, rid, signature, ...)."""
+
+    def __init__(self, rows: list[tuple]):
+        self.rows, (self.group, first, second, self.by_band) = rows, rows[0][:4]
+        self.within = first == second
+        self.left = [r for r in rows if r[4] == first]
+        self.right = self.left if self.within else [r for r in rows if r[4] == second]
+
+    def pairs(self, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs that the posterior leaves. Of a group that is a band's bucket, only those that no earlier band shows too."""
+        if not self.left or not self.right:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        sa, sb = (np.stack([np.frombuffer(r[6], np.uint32) for r in rows]) for rows in (self.left, self.right))
+        i, j = close_pairs(sa, None if self.within else sb, threshold, tolerance)
+        if self.by_band and len(i):
+            ka, kb = (np.stack([band_keys(x) for x in s]) for s in (sa, sb))
+            same = ka[i] == kb[j]
+            mine = ka[i, same.argmax(axis=1)] == self.group
+            i, j = i[mine], j[mine]
+        return i, j
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[Cell]:
+    """Rows sorted by (grp, first, second) to cells, one at a time."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and row[:3] != held[0][:3]:
+                yield Cell(held)
+                held = []
+            held.append(row)
+    if held:
+        yield Cell(held)
+
+
+def _prune(threshold: float, tolerance: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Cells of signatures to the rows that have a pair left there."""
+        out, kinds = [], (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int64())
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["grp", "first", "second", "by_band", "block", "rid"])
+        for cell in _cells(batches):
+            i, j = cell.pairs(threshold, tolerance)
+            stay = {cell.left[k][5]: cell.left[k] for k in set(i.tolist())} | {cell.right[k][5]: cell.right[k] for k in set(j.tolist())}
+            out += [r[:6] for r in stay.values()]
+            if len(out) > 10_000:
+                yield flush()
+                out = []
+        if out:
+            yield flush()
+
+    return run
+
+
+def _verify(threshold: float, tolerance: float):
+    def links(cell: Cell) -> list[tuple[int, int, int]]:
+        """(rid, links found here, smallest rid linked to here); rows go on with copies and items."""
+        i, j = cell.pairs(threshold, tolerance)
+        left, right, within = cell.left, cell.right, cell.within
+        sets = lambda rows: [np.frombuffer(r[8], np.uint64) for r in rows]
+        i, j = similar_pairs(sets(left), None if within else sets(right), i, j, threshold)
         if not len(i):
             return []
         nodes = left if within else [*left, *right]
         j = j if within else j + len(left)
-        copies = np.array([r[4] for r in nodes])
-        links = np.bincount(i, copies[j], len(nodes)) + np.bincount(j, copies[i], len(nodes))
+        copies = np.array([r[7] for r in nodes])
+        count = np.bincount(i, copies[j], len(nodes)) + np.bincount(j, copies[i], len(nodes))
         root = list(range(len(nodes)))
 
         def find(x: int) -> int:
@@ -193,76 +245,109 @@ def _compare(threshold: float, tolerance: float):
                 root[x] = x = root[root[x]]
             return x
 
+        rid = [r[5] for r in nodes]
         for x, y in zip(i.tolist(), j.tolist()):
             x, y = find(x), find(y)
             if x != y:
-                root[max(x, y)] = min(x, y)
-        return [(nodes[k][3], int(links[k]), nodes[find(k)][3]) for k in range(len(nodes)) if links[k]]
+                low, high = (x, y) if rid[x] < rid[y] else (y, x)
+                root[high] = low
+        return [(rid[k], int(count[k]), rid[find(k)]) for k in range(len(nodes)) if count[k]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key, out = [], None, []
+        out = []
         flush = lambda: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["rid", "links", "lead"])
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[:3] != key:
-                    out += cell(held) if held else []
-                    held, key = [], row[:3]
-                held.append(row[1:])
+        for cell in _cells(batches):
+            out += links(cell)
             if len(out) > 10_000:
                 yield flush()
                 out = []
-        out += cell(held) if held else []
         if out:
             yield flush()
 
     return run
 
 
+def _work(placed: DataFrame, *keys: str) -> DataFrame:
+    """(grp, rid, n) to what comparing each group's blocks two by two ships: (grp, docs, blocks, rows shipped)."""
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    return placed.groupBy("grp", *keys).agg(F.count("*").alias("docs"), blocks.alias("blocks")).withColumn("shipped", F.col("docs") * F.col("blocks"))
+
+
+def candidate_groups(bucketed: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(rid, grp, by_band, blocks): the groups within which all pairs of blocks are compared.
+
+    bucketed: (rid, band, lead) of what shares a band; sizes: (rid, n). A connected component of shared bands holds every pair
+    once, but unrelated texts may be chained in it; the buckets of its bands hold only what shares one, but a pair up to
+    BANDS times. Each component takes the cheaper way, by the rows that its groups' blocks would ship.
+    """
+    groups = connected_components(bucketed.where("rid <> lead").select(F.col("rid").alias("a"), F.col("lead").alias("b"))).withColumnRenamed("node", "rid")
+    whole = materialize(groups.join(sizes, "rid").select(F.col("component").alias("grp"), "rid", "n"), "components")
+    work = materialize(_work(whole), "component-work")
+    large = work.where("blocks > 1").select(F.col("grp").alias("component"), F.col("shipped").alias("at_once"))
+    banded = bucketed.join(whole.select("rid", "n", F.col("grp").alias("component")).join(large, "component"), "rid").select(F.col("band").alias("grp"), "rid", "n", "component")
+    banded = materialize(banded, "bands")
+    bands = materialize(_work(banded, "component"), "band-work")  # a band is of one component
+    split = bands.groupBy("component").agg(F.sum("shipped").alias("by_bands")).join(large, "component").where("by_bands < at_once").select("component")
+    split = materialize(split, "split")
+    own = whole.join(split, whole["grp"] == split["component"], "left_anti").join(work.select("grp", "blocks"), "grp").select("rid", "grp", F.lit(False).alias("by_band"), "blocks")
+    parts = banded.join(split, "component", "left_semi").join(bands.select("grp", "blocks"), "grp").select("rid", "grp", F.lit(True).alias("by_band"), "blocks")
+    return own.unionByName(parts)
+
+
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE, detail: bool = False) -> DataFrame:
     """One row per input row: (doc_id, class_id, class_size, n_links); with detail also what names the row and its class
-    (text_key, rid, component).
+    (k1, k2, rid, component).
 
     Two documents are linked if the Jaccard similarity of their sets of 5-word shingles (A-Z lower-cased) is `threshold`
     or more; n_links counts the linked rows, copies included; class_id is the smallest doc_id that can be reached over links.
-    1. Rows with equal shingle sets are one node with a count. 2. MinHash bands; nodes that share a band are joined to the
-    smallest of the bucket, and connected components of these edges are the candidate groups, each pair of which is seen once.
-    3. A group is cut into blocks of bounded size, each pair of blocks is one unit of work, so a group of any size spreads over
-    tasks. 4. In it, MinHash values are compared STEP at a time and a pair is dropped when its posterior probability of
-    reaching the threshold falls below `tolerance`; the rest are verified exactly. Units return sums and a spanning
-    forest, not pairs. 5. Components of the forest's edges are the classes.
-
+    1. Rows with equal shingle sets are one node with a count. 2. MinHash bands; nodes that share a band are candidates, see
+    candidate_groups. 3. A group is cut into blocks of bounded size, each pair of blocks is one unit of work, so a group of any
+    size spreads over tasks. 4. Units first get signatures alone: MinHash values are compared STEP at a time and a pair is
+    dropped when its posterior probability of reaching the threshold falls below `tolerance`. 5. Only what has a pair left
+    is sent on with its shingle set, and pairs are verified exactly. Units return sums and a spanning forest, not pairs.
+    6. Components of the forest's edges are the classes.
+
+    Counting the links of a group of n texts that are all alike takes n * n comparisons, in n * n / 65536 units.
     Texts that are null, empty or without words have no links. Shorter texts than five words are one shingle. Very long
-    texts are read whole. Repeated rows link to each other. Null ids are allowed; a class of null ids alone has class_id null.
+    texts are read whole. Repeated rows link to each other. Ids may be null or repeated, texts are found again by 128 bits of
+    hash; a class of null ids alone has class_id null.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
-    base = rows.mapInArrow(frugal(_describe), "doc_id long, text_key long, set_key binary, n long, bands array<long>").withColumn("rid", F.monotonically_increasing_id())
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *text_keys(text_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = rows.mapInArrow(frugal(_describe), "doc_id long, k1 long, k2 long, set_key binary, n long, bands array<long>").withColumn("rid", F.monotonically_increasing_id())
     base = materialize(base, "shingled")
 
-    nodes = base.where("set_key is not null").groupBy("set_key").agg(F.min("rid").alias("rid"), F.count("*").alias("copies"), F.min("doc_id").alias("least_id"))
-    nodes = materialize(nodes, "nodes")
+    texts = base.where("set_key is not null").groupBy("set_key", "k1", "k2").agg(F.min("rid").alias("rid"), F.count("*").alias("same"), F.min("doc_id").alias("least_id"))
+    nodes = texts.groupBy("set_key").agg(F.min(F.struct("rid", "k1", "k2", "same")).alias("of"), F.sum("same").alias("copies"), F.min("least_id").alias("least_id"))
+    nodes = materialize(nodes.select("set_key", "of.*", "copies", "least_id"), "nodes")
     keyed = base.join(nodes.select("rid"), "rid", "left_semi").select("rid", F.explode("bands").alias("band"))
-    buckets = keyed.groupBy("band").agg(F.min("rid").alias("lead"), F.count("*").alias("n")).where("n > 1").select("band", "lead")
-    edges = keyed.join(buckets, "band").where("rid <> lead").select(F.col("rid").alias("a"), F.col("lead").alias("b"))
-    groups = connected_components(edges)
-
-    members = groups.join(nodes, groups["node"] == nodes["rid"]).join(base.select("rid", F.col("doc_id").alias("cand_id"), "n"), "rid").select("rid", "component", "copies", "set_key", "cand_id", "n")
-    members = materialize(members, "members")
-    blocks = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    members = materialize(members.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")), "blocks")
-    texts = rows.join(broadcast_if_small(members, 160), rows["doc_id"].eqNullSafe(F.col("cand_id")))
-    items = texts.select("doc_id", "text", "set_key", "component", "blocks", "block", "rid", "copies").mapInArrow(frugal(_sets), "component long, blocks int, block int, rid long, copies long, items binary")
+    buckets = materialize(keyed.groupBy("band").agg(F.min("rid").alias("lead"), F.count("*").alias("n")).where("n > 1").select("band", "lead"), "buckets")
+    bucketed = materialize(keyed.join(buckets, "band").select("rid", "band", "lead"), "bucketed")
+    groups = materialize(candidate_groups(bucketed, base.select("rid", "n")), "groups")
+
+    members = materialize(nodes.join(bucketed.select("rid").distinct(), "rid").select("rid", "k1", "k2", "same", "copies"), "members")
+    one = rows.join(broadcast_if_small(members.where("same = 1"), 60), ["k1", "k2"]).select("rid", "copies", "text")
+    more = rows.join(broadcast_if_small(members.where("same > 1"), 60), ["k1", "k2"])
+    more = more.groupBy("rid").agg(F.first("copies").alias("copies"), F.first("text").alias("text"))
+    sets = materialize(one.unionByName(more).mapInArrow(frugal(_sets), "rid long, copies long, signature binary, items binary"), "sets")
+
+    placed = groups.withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    cells = items.select("*", other.alias("other")).select("component", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "rid", "copies", "items")
-    cells = cells.repartition("component", "first", "second").sortWithinPartitions("component", "first", "second", "rid")
-    found = materialize(cells.mapInArrow(frugal(_compare(threshold, tolerance)), "rid long, links long, lead long"), "links")
+    units = placed.join(sets.select("rid", "signature"), "rid").select("*", other.alias("other"))
+    units = units.select("grp", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "by_band", "block", "rid", "signature")
+    unit = ["grp", "first", "second"]
+    left = units.repartition(*unit).sortWithinPartitions(*unit, "rid").mapInArrow(frugal(_prune(threshold, tolerance)), "grp long, first int, second int, by_band boolean, block int, rid long")
+    left = materialize(left, "left")
+    again = left.join(sets, "rid").select(*unit, "by_band", "block", "rid", "signature", "copies", "items").repartition(*unit).sortWithinPartitions(*unit, "rid")
+    found = materialize(again.mapInArrow(frugal(_verify(threshold, tolerance)), "rid long, links long, lead long"), "links")
 
     links = found.groupBy("rid").agg(F.sum("links").alias("links"))
     classes = connected_components(found.where("rid <> lead").select(F.col("rid").alias("a"), F.col("lead").alias("b"))).withColumnRenamed("node", "rid")
     nodes = nodes.join(links, "rid", "left").join(classes, "rid", "left").select("set_key", F.coalesce("component", "rid").alias("component"), "copies", "least_id", F.coalesce("links", F.lit(0)).alias("links"))
-    sums = nodes.groupBy("component").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"))
+    nodes = materialize(nodes, "classes")
+    sums = materialize(nodes.groupBy("component").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size")), "class-sums")
     known = nodes.join(sums, "component").select("set_key", "component", "class_id", "class_size", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    own = ["text_key", "rid", "component"] if detail else []
+    own = ["k1", "k2", "rid", "component"] if detail else []
     class_id = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
     return base.join(known, "set_key", "left").select("doc_id", class_id.alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("n_links", F.lit(0)).alias("n_links"), *own)
 
@@ -270,21 +355,21 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each class of ngram_jaccard_join, all columns kept: that of the smallest id (nulls last).
 
-    A row is known by its id and a hash of its text, so other texts of a repeated id stay; of repeated rows that are the
-    class's first, one stays.
+    A row is known by its id and 128 bits of hash of its text, so other texts of a repeated id stay; of repeated rows that are
+    the class's first, one stays.
     """
-    rows = ngram_jaccard_join(docs, id_col, text_col, detail=True).where("class_size > 1").select("component", "doc_id", "text_key", "rid")
+    rows = ngram_jaccard_join(docs, id_col, text_col, detail=True).where("class_size > 1").select("component", "doc_id", "k1", "k2", "rid")
     rows = materialize(rows, "near-copies")
-    name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "rid")
-    best = rows.groupBy("component").agg(F.min(name).alias("best"))
-    same = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_key") == F.col("best.text_key"))
-    rows = rows.join(best, "component").select("doc_id", "text_key", same.alias("first"), (F.col("rid") != F.col("best.rid")).alias("again"))
-    rows = materialize(rows.where("again").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"), "first").distinct(), "gone")
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_key"))
-    named = packed["_id"].eqNullSafe(F.col("gone_id")) & (packed["_key"] == F.col("gone_key"))
-    out = packed.join(broadcast_if_small(rows, 32), named, "left_anti").select("_row")
+    name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2", "rid")
+    best = materialize(rows.groupBy("component").agg(F.min(name).alias("best")), "first-of-class")
+    same = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("k1") == F.col("best.k1")) & (F.col("k2") == F.col("best.k2"))
+    rows = rows.join(best, "component").select("doc_id", "k1", "k2", same.alias("first"), (F.col("rid") != F.col("best.rid")).alias("again"))
+    rows = materialize(rows.where("again").select(F.col("doc_id").alias("gone_id"), F.col("k1").alias("gone_1"), F.col("k2").alias("gone_2"), "first").distinct(), "gone")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), *text_keys(text_col, "_k1", "_k2"))
+    named = packed["_id"].eqNullSafe(F.col("gone_id")) & (packed["_k1"] == F.col("gone_1")) & (packed["_k2"] == F.col("gone_2"))
+    out = packed.join(broadcast_if_small(rows, 40), named, "left_anti").select("_row")
     again = rows.where("first")
-    if not again.limit(1).count():
+    if again.isEmpty():
         return out.select("_row.*")
-    once = packed.join(again, named, "left_semi").dropDuplicates(["_id", "_key"]).select("_row")
+    once = packed.join(broadcast_if_small(again, 40), named, "left_semi").dropDuplicates(["_id", "_k1", "_k2"]).select("_row")
     return out.unionByName(once).select("_row.*")

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import BROADCAST_BYTES, frugal, materialize, portions
+from .common import BROADCAST_BYTES, frugal, materialize, portions, text_keys
 from .jaccard import rolling, word_hashes
 
 #: Words of a window.
@@ -220,9 +220,8 @@ def _sized(df: DataFrame, row_bytes: Column, limit: int) -> DataFrame:
 
 
 def _keyed(docs: DataFrame, text_col: str, *own: Column) -> DataFrame:
-    """Texts under 128 bits of hash, by which they are found again: equal texts have equal repeats, whatever their ids."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), text.alias("text"), *own)
+    """Texts under their keys: equal texts have equal repeats, whatever their ids."""
+    return docs.select(*text_keys(text_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *own)
 
 
 def repeated_ranges(docs: DataFrame, text_col: str = "text", window: int = WINDOW, group_places: int = GROUP_PLACES, limit: int = 2 * BROADCAST_BYTES) -> DataFrame:

@@ -52,6 +52,24 @@ def test_jaccard_join_is_brute_force(spark, corpus, monkeypatch):
     assert sorted(map(tuple, got.collect()), key=str) == brute_classes(corpus)
 
 
+def test_chain_of_texts_goes_by_bands(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_DOCS", 6)
+    rng = random.Random(8)
+    track, at, rows = words(rng, 9000, 10**6), 0, []
+    for k in range(400):  # neighbours share 0.78 or, now and then, 0.9 of their shingles, so bands chain all of them
+        rows.append((k, " ".join(track[at : at + 100])))
+        at += 5 if k % 9 == 0 else 12
+    rows += [(1000 + k, " ".join(track[:100] + [f"x{k}"])) for k in range(30)]  # and a group that is alike throughout
+    asked = {}
+    groups = jaccard.candidate_groups
+    monkeypatch.setattr(jaccard, "candidate_groups", lambda *a: asked.setdefault("groups", groups(*a)))
+    got = jaccard.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect()), key=str) == brute_classes(rows)
+    asked = asked["groups"].collect()
+    assert all(r.by_band for r in asked)
+    assert sum(r.blocks for r in asked) < 430 * 72  # what one group of all would ship
+
+
 def test_drop_near_copies(spark, corpus):
     rows = [*corpus, corpus[0], (corpus[1][0], "quite another text of a repeated id that has nothing to do with it")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, component string")
