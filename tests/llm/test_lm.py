@@ -42,7 +42,7 @@ def naive(model, pairs):
 def naive_rest(words, word, seg):
     """log10 P(rest of word | its first id) from the training words' counts, in plain loops."""
     kinds = [seg(w) for w in words]
-    n_end = len(lm.codec(RANKS, PATTERN).lengths)
+    n_end = len(lm.decoder(RANKS).lengths)
     further = {}
     for s in kinds:
         for y in [*s[1:], n_end]:
@@ -141,6 +141,7 @@ def test_lm_score_is_brute_force(spark, monkeypatch):
     kept = {}
     train = lm.train
     monkeypatch.setattr(lm, "train", lambda *a: kept.setdefault("model", train(*a)))
+    monkeypatch.setattr(lm, "DICTIONARY_ROWS", 50)
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60 and n_chars < 1500").select("doc_id", "text", F.lit("x").alias("score"), F.lit(1).alias("n"))
     docs = docs.unionByName(spark.createDataFrame([(900, None, "x", 1), (901, "", "x", 1), (None, "the The", "x", 1), (901, "", "x", 1), (902, "zzzz " * 3000, "x", 1), (903, "w" * 200 + " the " + "w" * 200, "x", 1)], "doc_id long, text string, score string, n int"))
     learn = F.coalesce(F.col("doc_id") % 3 != 0, F.lit(True))
@@ -159,7 +160,7 @@ def test_lm_score_is_brute_force(spark, monkeypatch):
 
     def seg(w):
         if w not in seen:
-            seen[w] = lm.codec(RANKS, PATTERN).encode_new([" " + w.decode()])[0].tolist()
+            seen[w] = lm.encoding(RANKS, PATTERN).encode_ordinary(" " + w.decode())
         return seen[w]
 
     known = {w: k for w, k in counts.items() if w is not None}
