@@ -10,13 +10,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import BROADCAST_BYTES, frugal, materialize, portions, text_keys
-from .jaccard import rolling, word_hashes
+from .jaccard import mix, rolling, word_hashes
 
 #: Words of a window.
 WINDOW = 35
 #: Words of an anchor, the run whose repetition any repeated window must contain.
 ANCHOR = 8
-#: Places of an anchor that make one group, at most (each of about 500 bytes); beyond it prefixes go on to the window's end.
+#: Places of an anchor that make one group, about (each of some 500 bytes); beyond it they are salted over several groups.
 GROUP_PLACES = 4096
 #: Window starts whose anchors are found at a time, and places whose trees are built at a time.
 STARTS, PLACES = 1 << 20, 20_000
@@ -43,6 +43,14 @@ def anchors(hashes: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> n
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
+def row_hashes(words: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row."""
+    out = np.zeros(len(words), np.uint64)
+    for column in words.T:
+        out = mix(out + column)
+    return out
+
+
 def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
@@ -70,18 +78,20 @@ def _anchor_rows(window: int):
 
 def _around(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(rid, places, text) to each place of an anchor, with the hashes of the words of all windows that have it.
+        """(rid, places, salts, text) to each place of an anchor, with the hashes of the words of all windows that have it.
 
-        Their starts run from lo to hi; the words from lo to the end of the last window.
+        Their starts run from lo to hi; the words from lo to the end of the last window. Salts: over how many groups the anchor goes.
         """
         for batch in batches:
-            for rid, places, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for rid, places, salts, text in zip(*(c.to_pylist() for c in batch.columns)):
                 h = word_hashes(_words(text))
                 at = anchors(h, window)
                 grams = rolling(h, ANCHOR).view(np.int64)
+                over = np.zeros(len(h), np.int64)
+                over[places] = salts
                 first = np.nonzero(np.diff(at, prepend=-1))[0]
                 last = np.append(first[1:], len(at)) - 1
-                mine = np.isin(at[first], np.array(places))
+                mine = over[at[first]] > 0
                 first, last = first[mine], last[mine]
                 for a in range(0, len(first), 5000):
                     lo, hi = first[a : a + 5000], last[a : a + 5000]
@@ -90,25 +100,9 @@ def _around(window: int):
                     ends = np.cumsum(n)
                     flat = h[np.repeat(lo - (ends - n), n) + np.arange(int(ends[-1]))]
                     data = pa.Array.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer((8 * np.concatenate([[0], ends])).astype(np.int32)), pa.py_buffer(flat)])
-                    yield pa.RecordBatch.from_arrays([pa.array(grams[place]), pa.array(np.full(len(lo), rid)), pa.array(place.astype(np.int32)), pa.array(lo.astype(np.int32)), data], names=["hash", "rid", "place", "lo", "words"])
-
-    return run
-
-
-def _whole_windows(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(rid, places, text) to each window start that has its anchor there, with 128 bits of hash of the window's words."""
-        half = window // 2
-        for batch in batches:
-            for rid, places, text in zip(*(c.to_pylist() for c in batch.columns)):
-                h = word_hashes(_words(text))
-                mark = np.zeros(len(h), bool)
-                mark[places] = True
-                start = np.nonzero(mark[anchors(h, window)])[0]
-                k1, k2 = (rolling(h, n)[skip : skip + len(h) - window + 1].view(np.int64) for n, skip in ((half, 0), (window - half, half)))
-                for a in range(0, len(start), 100_000):
-                    s = start[a : a + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(k1[s]), pa.array(k2[s]), pa.array(np.full(len(s), rid)), pa.array(s.astype(np.int32))], names=["k1", "k2", "rid", "pos"])
+                    salt = mix(place.astype(np.uint64) + (np.uint64(rid) << np.uint64(24))) % over[place].astype(np.uint64)
+                    columns = [grams[place], salt.astype(np.int32), over[place] > 1, np.full(len(lo), rid), place.astype(np.int32), lo.astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), data], names=["hash", "salt", "salted", "rid", "place", "lo", "words"])
 
     return run
 
@@ -127,20 +121,20 @@ def descend(node: np.ndarray, letter: np.ndarray) -> np.ndarray:
     return out
 
 
-def deep_nodes(group: np.ndarray, place: np.ndarray, lo: np.ndarray, words: np.ndarray, ends: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """[places, offsets]: does the suffix that starts `offset` words before the place hang below an internal node of the window's depth?
+def deep_nodes(group: np.ndarray, salt: np.ndarray, place: np.ndarray, lo: np.ndarray, words: np.ndarray, ends: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """[places, offsets]: the internal node of the window's depth that the suffix from `offset` words before the place hangs below.
 
-    words[ends[i]:ends[i + 1]] are those of place i from lo[i] on; places of a group have the anchor's words in common.
-    A suffix's prefix goes from its start to the end of its anchor; below it the tree goes down one word a level. Suffixes of
-    a group share the words right of the anchor, so those levels are made once for all offsets, and the words left of it
-    likewise; the node at the window's depth is the pair of both.
+    -1: none, the suffix is alone there; -2: no window. words[ends[i]:ends[i + 1]] are those of place i from lo[i] on; places
+    of a group have the anchor's words in common. A suffix's prefix goes from its start to the end of its anchor; below it
+    the tree goes down one word a level. Suffixes of a group share the words right of the anchor, so those levels are made
+    once for all offsets, and the words left of it likewise; the node at the window's depth is the pair of both.
     """
     left, right = window - ANCHOR, window
     n, before = np.diff(ends), place - lo
     where = before[:, None] + np.arange(-left, right)
     there = (where >= 0) & (where < n[:, None])
     letter = words[np.where(there, where + ends[:-1, None], 0)]
-    root = descend(np.zeros(len(group), np.int64), group)
+    root = descend(descend(np.zeros(len(group), np.int64), group), salt)
     lefts, rights = [root], {}
     for o in range(1, left + 1):
         lefts.append(descend(np.where(there[:, left - o], lefts[-1], -1), letter[:, left - o]))
@@ -148,39 +142,58 @@ def deep_nodes(group: np.ndarray, place: np.ndarray, lo: np.ndarray, words: np.n
     for r in range(right):
         node = descend(np.where(there[:, left + r], node, -1), letter[:, left + r])
         rights[r + 1] = node
-    out = np.zeros((len(group), left + 1), bool)
+    out = np.full((len(group), left + 1), -2, np.int64)
     last = before + window - n  # the smallest offset of a start
     for o in range(left + 1):
-        mine = np.nonzero((o <= before) & (o >= last) & (lefts[o] >= 0) & (rights[window - o] >= 0))[0]
-        out[mine, o] = descend(lefts[o][mine], rights[window - o][mine]) >= 0
+        own = (o <= before) & (o >= last)
+        out[own, o] = -1
+        own = np.nonzero(own & (lefts[o] >= 0) & (rights[window - o] >= 0))[0]
+        out[own, o] = descend(lefts[o][own], rights[window - o][own])
     return out
 
 
 def _trees(window: int):
+    left = window - ANCHOR
+
+    def settle(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(rows).combine_chunks()
+        group, salt, salted, rid, place, lo = (table.column(i).to_numpy().astype(np.int64) for i in range(6))
+        words = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint64)
+        ends = np.concatenate([[0], np.cumsum(pc.binary_length(table.column(6)).to_numpy() // 8)]).astype(np.int64)
+        nodes = deep_nodes(group, salt, place, lo, words, ends, window)
+        again = (nodes >= 0)[:, ::-1]  # by start, ascending
+        edge = np.diff(np.pad(again.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+        (i, a), (_, b) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+        yield emit(rid[i], place[i] - left + a, place[i] - left + b, np.zeros(len(i)))
+        own = np.nonzero(salted)[0]
+        if len(own):
+            alone = np.nonzero(nodes[own] == -1)
+            stand = [(own[i], np.full(len(i), o)) for o in range(left + 1) for seen, i in [np.unique(nodes[own, o], return_index=True)] for i in [i[seen >= 0]]]
+            for state, (i, o) in ((1, (own[alone[0]], alone[1])), (2, tuple(map(np.concatenate, zip(*stand))))):
+                at = (ends[i] + place[i] - o - lo[i])[:, None] + np.arange(window)
+                k1, k2 = (row_hashes(words[x]).view(np.int64) for x in (at[:, : window // 2], at[:, window // 2 :]))
+                yield emit(rid[i], place[i] - o, place[i] - o + 1, np.full(len(i), state), k1, k2)
+
+    def emit(rid, start, stop, state, k1=None, k2=None) -> pa.RecordBatch:
+        keys = [pa.nulls(len(rid), pa.int64()) if k is None else pa.array(k) for k in (k1, k2)]
+        return pa.RecordBatch.from_arrays([pa.array(rid), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(state.astype(np.int8)), *keys], names=["rid", "from", "to", "state", "k1", "k2"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(hash, rid, place, lo, words) sorted by hash to the repeated starts [from, to) of each place; whole groups at a time."""
-
-        def settle(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-            table = pa.Table.from_batches(rows).combine_chunks()
-            group, rid, place, lo = (table.column(i).to_numpy().astype(np.int64) for i in range(4))
-            data = b"".join(table.column(4).to_pylist())
-            ends = np.concatenate([[0], np.cumsum(pc.binary_length(table.column(4)).to_numpy() // 8)]).astype(np.int64)
-            again = deep_nodes(group, place, lo, np.frombuffer(data, np.uint64), ends, window)[:, ::-1]  # by start, ascending
-            edge = np.diff(np.pad(again.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-            (i, a), (_, b) = np.nonzero(edge == 1), np.nonzero(edge == -1)
-            first = place[i] - (window - ANCHOR)
-            return pa.RecordBatch.from_arrays([pa.array(rid[i]), pa.array((first + a).astype(np.int32)), pa.array((first + b).astype(np.int32))], names=["rid", "from", "to"])
-
-        held, n = [], 0
+        """(hash, salt, salted, rid, place, lo, words) sorted by hash and salt to the repeated starts [from, to) of each place.
+
+        Whole groups at a time. State 0: repeated. Of salted groups also: 1, a start that is alone in its group, and 2, one
+        that stands for a node, both with 128 bits of hash of the window.
+        """
+        held, n, end = [], 0, None
         for batch in batches:
             if not len(batch):
                 continue
-            hashes = batch.column(0).to_numpy()
-            cuts = np.concatenate([[0], np.nonzero(np.diff(hashes))[0] + 1, [len(batch)]])
-            at = 0
-            if held and held[-1].column(0)[len(held[-1]) - 1].as_py() != hashes[0] and n >= PLACES:
-                yield settle(held)
+            keys = [batch.column(i).to_numpy() for i in (0, 1)]
+            cuts = np.concatenate([[0], np.nonzero((np.diff(keys[0]) != 0) | (np.diff(keys[1]) != 0))[0] + 1, [len(batch)]])
+            if n >= PLACES and (keys[0][0], keys[1][0]) != end:
+                yield from settle(held)
                 held, n = [], 0
+            at, end = 0, (keys[0][-1], keys[1][-1])
             while at < len(batch):
                 room = max(at + 1, at + PLACES - n)
                 cut = int(cuts[np.searchsorted(cuts, min(room, len(batch)))])  # where a group ends
@@ -188,10 +201,10 @@ def _trees(window: int):
                 n += cut - at
                 at = cut
                 if n >= PLACES and at < len(batch):
-                    yield settle(held)
+                    yield from settle(held)
                     held, n = [], 0
         if held:
-            yield settle(held)
+            yield from settle(held)
 
     return run
 
@@ -239,24 +252,21 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", window: int = WINDO
     first = base.join(texts.select("rid"), "rid", "left_semi")
     places = first.select("rid", F.explode(F.arrays_zip("hashes", "places")).alias("a")).select("rid", F.col("a.hashes").alias("hash"), F.col("a.places").alias("place"))
     again = materialize(places.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"), "repeated-anchors")  # written, so that a hot anchor's join can be split
-    marks = places.join(again, "hash").groupBy("rid").agg(F.collect_list(F.struct("place", (F.col("n") > group_places).alias("heavy"))).alias("m"))  # a text's anchors, fewer than its words
-    marks = materialize(marks.join(texts, "rid").select("rid", "k1", "k2", "copies", "m"), "candidates")
-
-    def found(heavy: bool) -> DataFrame:
-        """(rid, places, text) of one copy of each text that has such places."""
-        mine = F.filter("m", lambda x: x["heavy"] == F.lit(heavy))
-        own = marks.select("rid", "k1", "k2", "copies", F.transform(mine, lambda x: x["place"]).alias("places")).where(F.size("places") > 0)
-        one = rows.join(_sized(own.where("copies = 1"), F.size("places") * 4 + 64, limit), ["k1", "k2"]).select("rid", "places", "text")
-        more = rows.join(_sized(own.where("copies > 1"), F.size("places") * 4 + 64, limit), ["k1", "k2"])
-        return one.unionByName(more.groupBy("rid").agg(F.first("places").alias("places"), F.first("text").alias("text")))
-
-    around = found(False).mapInArrow(frugal(_around(window)), "hash long, rid long, place int, lo int, words binary")
-    around = around.repartition("hash").sortWithinPartitions("hash")
-    runs = materialize(around.mapInArrow(frugal(_trees(window)), "rid long, from int, to int"), "repeats")
-    if not again.where(F.col("n") > group_places).isEmpty():
-        whole = materialize(found(True).mapInArrow(frugal(_whole_windows(window)), "k1 long, k2 long, rid long, pos int"), "windows")
-        many = materialize(whole.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2"), "repeated-windows")
-        runs = runs.unionByName(whole.join(many, ["k1", "k2"]).select("rid", F.col("pos").alias("from"), (F.col("pos") + 1).alias("to")))
+    salts = F.ceil(F.col("n") / group_places).cast("int").alias("salts")
+    marks = places.join(again, "hash").groupBy("rid").agg(F.collect_list(F.struct("place", salts)).alias("m"))  # a text's anchors, fewer than its words
+    own = ["rid", "k1", "k2", "copies", F.col("m.place").alias("places"), F.col("m.salts").alias("salts")]
+    marks = materialize(marks.join(texts, "rid").select(*own), "candidates")
+    size = F.size("places") * 8 + 64
+    one = rows.join(_sized(marks.where("copies = 1"), size, limit), ["k1", "k2"]).select("rid", "places", "salts", "text")
+    more = rows.join(_sized(marks.where("copies > 1"), size, limit), ["k1", "k2"])
+    found = one.unionByName(more.groupBy("rid").agg(*[F.first(c).alias(c) for c in ("places", "salts", "text")]))
+
+    around = found.mapInArrow(frugal(_around(window)), "hash long, salt int, salted boolean, rid long, place int, lo int, words binary")
+    around = around.repartition("hash", "salt").sortWithinPartitions("hash", "salt")
+    trees = materialize(around.mapInArrow(frugal(_trees(window)), "rid long, from int, to int, state tinyint, k1 long, k2 long"), "repeats")
+    across = trees.where("state > 0").groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2")
+    across = materialize(across, "across-salts")
+    runs = trees.where("state = 0").unionByName(trees.where("state = 1").join(across, ["k1", "k2"]), allowMissingColumns=True).select("rid", "from", "to")
     ranges = runs.groupBy("rid").agg(F.collect_list(F.struct("from", "to")).alias("runs")).mapInArrow(frugal(_ranges(window)), "rid long, starts array<int>, stops array<int>")
 
     ranges = texts.join(ranges, "rid", "left").where("copies > 1 or starts is not null")
@@ -292,9 +302,9 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     1. Equal texts are one text with a count; if it is over one, all its windows repeat. 2. A window's anchor is its
     smallest 8-word run; only suffixes whose anchor occurs twice are followed. 3. A suffix's prefix is what goes from its start to
     the end of its anchor, so prefixes vary in length, and suffixes are dealt out by the anchor. The places of each anchor are
-    counted; where they are more than `group_places`, prefixes go on to the window's end and are counted where they are. 4. Each
-    group is a suffix tree, built a word a level from its prefixes; an internal node of the window's depth is a repeat.
-    5. Repeated starts become the maximal repeats of their text, which the last scan of the texts leaves out.
+    counted; where they are more than `group_places`, they are salted over several groups. 4. Each group is a suffix tree,
+    built a word a level from its prefixes; an internal node of the window's depth is a repeat. What is alone in a salted
+    group is looked up among the other groups' nodes. 5. Repeated starts become the maximal repeats of their text, which the last scan of the texts leaves out.
 
     Words are compared by 64 bits of hash each. Null or empty texts have no words and keep the empty text; texts shorter than a
     window stay whole. Very long texts are read whole. Repeated rows are copies, so all windows of both go. Ids may be null

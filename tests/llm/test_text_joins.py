@@ -158,7 +158,7 @@ def test_groups_stay_whole_over_batches(monkeypatch):
     def batch(a, b):
         n = b - a
         data = pa.array([(text + np.uint64(g)).tobytes() for g in groups[a:b]], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(groups[a:b]), pa.array(np.arange(a, b)), pa.array(np.full(n, 4, np.int32)), pa.array(np.full(n, 0, np.int32)), data], names=["hash", "rid", "place", "lo", "words"])
+        return pa.RecordBatch.from_arrays([pa.array(groups[a:b]), pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, bool)), pa.array(np.arange(a, b)), pa.array(np.full(n, 4, np.int32)), pa.array(np.full(n, 0, np.int32)), data], names=["hash", "salt", "salted", "rid", "place", "lo", "words"])
 
     out = [x for b in substrings._trees(window)(iter([batch(a, a + 7) for a in range(0, 896, 7)])) for x in b.column(0).to_pylist()]
     many = np.bincount(groups[:896]) > 1
