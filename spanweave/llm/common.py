@@ -22,6 +22,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares (spark.checkpoint.dir); a local one is set only where that is unset, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -35,11 +38,17 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Writes df once as Parquet in the shared folder and reads it back: lineage is cut and any executor may be lost.
 
-    by: a column with few values, each of which gets a folder, so that reading one leaves the others alone.
+    by: a column with few values, each of which gets a folder, so that reading one leaves the others alone. The shuffle files
+    of the writing query go once it is done, as nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        (df.write.partitionBy(by) if by else df.write).option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
