@@ -4,34 +4,63 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from spanweave.llm import dedup, mixing, topk
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def brute_top(vectors, queries, k):
+def brute_top(rows, asked, k):
+    """rows: (id, vector); asked: places of the queries among them."""
     out = []
-    for q, v in queries.items():
-        ranked = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in vectors.items() if i != q and len(w) == len(v))
-        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(ranked[:k])]
+    for q in asked:
+        ranked = sorted((-sum(a * b for a, b in zip(rows[q][1], v)), i) for p, (i, v) in enumerate(rows) if p != q and len(v) == len(rows[q][1]))
+        out += [(rows[q][0], r + 1, i, -s) for r, (s, i) in enumerate(ranked[:k])]
     return sorted(out)
 
 
-def test_top_k_over_shards_and_blocks_with_ties(spark):
+@pytest.mark.parametrize("regions", [4096, 3])
+def test_top_k_over_shards_blocks_and_waves_with_ties(spark, regions, monkeypatch):
+    monkeypatch.setattr(topk, "REGIONS", regions)
+    monkeypatch.setattr(topk, "SUMMARIES", 4)
     rng = random.Random(1)
-    vectors = {i: [rng.randint(-3, 3) for _ in range(4)] for i in range(300)}
-    df = spark.createDataFrame([(i, v) for i, v in vectors.items()], "vec_id long, vector array<long>")
-    got = topk.top_k(df, df.where("vec_id % 20 = 0"), 20, shard_rows=40, block_rows=4)
-    assert sorted(map(tuple, got.collect())) == brute_top(vectors, {i: v for i, v in vectors.items() if i % 20 == 0}, 20)
+    rows = [(i, [rng.randint(-3, 3) for _ in range(4)]) for i in range(300)] + [(i % 30, [rng.randint(-9, 9) for _ in range(4)]) for i in range(40)] + [(500 + i, [rng.randint(-9, 9) for _ in range(3)]) for i in range(50)]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<long>")
+    got = topk.top_k(df, F.col("vec_id") % 20 == 0, 20, shard_rows=20, block_rows=4)
+    assert sorted(map(tuple, got.collect())) == brute_top(rows, [p for p, (i, _) in enumerate(rows) if i % 20 == 0], 20)
+
+
+def test_top_k_of_queries_from_elsewhere(spark):
+    rng = random.Random(2)
+    rows = [(i, [rng.randint(-50, 50) for _ in range(3)]) for i in range(100)]
+    asked = [(7, [1, 2, 3]), (7, [1, 2, 3]), (8, [0, 0, 0])]
+    df, queries = (spark.createDataFrame(x, "vec_id long, vector array<long>") for x in (rows, asked))
+    got = sorted(map(tuple, topk.top_k(df, queries, 5, shard_rows=30).collect()))
+    assert got == sorted(x for a in asked for x in brute_top([*rows, a], [100], 5))
+
+
+@pytest.mark.parametrize("size", [2**25, 2**31, 2**45])
+def test_top_k_of_large_scores(spark, size):
+    rng = random.Random(3)
+    rows = [(i, [rng.randint(-size, size) for _ in range(2)]) for i in range(80)] + [(100, [size, size]), (101, [size, size]), (102, [size, size - 1])]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<long>")
+    got = sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 20 == 0, 3, shard_rows=20).collect()))
+    cut = lambda x: max(-(2**63 - 1), min(2**63 - 1, x))
+    want = []
+    for q, v in rows:
+        if q % 20 == 0:
+            ranked = sorted((-cut(sum(a * b for a, b in zip(v, w))), i) for i, w in rows if i != q)
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(ranked[:3])]
+    assert got == sorted(want)
 
 
 def test_top_k_edges(spark):
-    rows = [(1, [1.0, 2.0]), (2, None), (3, [1.0, None]), (4, [math.nan, 1.0]), (5, [math.inf, 0.0]), (6, [-0.5, 0.25]), (6, [-0.5, 0.25]), (None, [1.0, 1.0]), (7, [1.0]), (8, [])]
+    rows = [(1, [1.0, 2.0]), (2, None), (3, [1.0, None]), (4, [math.nan, 1.0]), (5, [math.inf, 0.0]), (6, [-0.5, 0.25]), (None, [1.0, 1.0]), (7, [1.0]), (8, [])]
     df = topk.scaled(spark.createDataFrame(rows, "vec_id long, e array<double>").selectExpr("*", "1 as vector", "'x' as rank"), "vec_id", "e")
-    got = sorted(map(tuple, topk.top_k(df, df, 5).collect()))
+    got = sorted(map(tuple, topk.top_k(df, F.lit(True), 5).collect()))
     assert got == [(1, 1, 6, 64 * -32 + 128 * 16), (6, 1, 1, 64 * -32 + 128 * 16)]
-    assert topk.top_k(df.limit(0), df.limit(0), 5).count() == 0
+    assert topk.top_k(df.limit(0), F.lit(True), 5).count() == 0 and topk.top_k(df, df.limit(0), 5).count() == 0
 
 
 def test_exact_dedup(spark):
