@@ -14,6 +14,9 @@ def seconds_between_epochs() -> int:
     return int((datetime(1970, 1, 1) - datetime(1, 1, 1)).total_seconds())
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares; a local one is set only where spark.checkpoint.dir is unset, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -25,7 +28,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once in the shared folder and reads it back, which cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes df once in the shared folder and reads it back, which cuts lineage and survives lost executors.
+
+    The shuffle files of the writing query go once it is done, as nothing reads them again.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)

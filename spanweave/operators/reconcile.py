@@ -13,6 +13,19 @@ from .common import materialize
 # How much a source is believed.
 BASE_STRENGTH, TRACES, TOPOLOGY, OVERLAY, OTHER = 0.2, 0.35, 0.95, 1.0, 0.5
 
+# Which lifecycle wants attention first.
+ATTENTION = {"retired": 4, "stale": 3, "candidate": 2, "active": 1}
+# Why an entity is where it is, as reports say it.
+REASONS = {
+    "observed": "observed in current window",
+    "no_opportunity": "no qualified opportunity in current window",
+    "retired": "retired after repeated qualified misses",
+    "stale": "stale after repeated qualified misses",
+    "stale_frozen": "stale after qualified misses; retirement frozen by telemetry health",
+    "active": "retained as active",
+    "candidate": "insufficient evidence to promote",
+}
+
 
 @dataclass(frozen=True)
 class Config:
@@ -183,9 +196,9 @@ def step(state: DataFrame, seen: DataFrame, ingest: tuple[int, int, int], window
     retire = (F.col("miss_streak") >= F.col("hard")) & (F.col("existence") <= cfg.retire_existence) if not health.frozen else F.lit(False)
     stale = F.col("miss_streak") >= F.col("soft")
     rows = rows.withColumn("lifecycle", F.when(seen_now, F.when(strong, "active").otherwise("candidate")).when(~miss, F.col("before")).when(retire, "retired").when(stale, "stale").when(strong, "active").otherwise("candidate"))
-    stale_reason = "stale after qualified misses; retirement frozen by telemetry health" if health.frozen else "stale after repeated qualified misses"
+    why = {k: F.lit(v) for k, v in REASONS.items()}
     rows = rows.withColumns({
-        "reason": F.when(seen_now, "observed in current window").when(~miss, "no qualified opportunity in current window").when(F.col("lifecycle") == "retired", "retired after repeated qualified misses").when(F.col("lifecycle") == "stale", stale_reason).when(strong, "retained as active").otherwise("insufficient evidence to promote"),
+        "reason": F.when(seen_now, why["observed"]).when(~miss, why["no_opportunity"]).when(F.col("lifecycle") == "retired", why["retired"]).when(F.col("lifecycle") == "stale", why["stale_frozen" if health.frozen else "stale"]).when(strong, why["active"]).otherwise(why["candidate"]),
         "retired_at": F.when(seen_now, F.lit(None).cast("bigint")).when(miss & (F.col("lifecycle") == "retired"), F.when(F.col("before") == "retired", F.coalesce("retired_at", F.lit(window_end))).otherwise(F.lit(window_end))).otherwise(F.col("retired_at")),
         "updated_at": F.when(seen_now | miss, F.lit(window_end).cast("bigint")).otherwise(F.col("updated_at")),
         "observed_windows": F.col("ow") + seen_now.cast("bigint"), "opportunity_windows": F.col("pw") + miss.cast("bigint"),
@@ -253,8 +266,8 @@ def lifecycle_counts(state: DataFrame) -> DataFrame:
 
 
 def attention(stepped: DataFrame, limit: int = 10) -> DataFrame:
-    """The report's list of entities that want a look: stale, retired or just missed; retired first, then by misses."""
-    rank = F.when(F.col("lifecycle") == "retired", 2).when(F.col("lifecycle") == "stale", 1).otherwise(0)
+    """The report's list of entities that want a look: stale, retired or just missed; by lifecycle, then by misses."""
+    rank = F.element_at(F.create_map(*[F.lit(x) for pair in ATTENTION.items() for x in pair]), F.col("lifecycle"))
     return stepped.where("lifecycle in ('stale', 'retired') or miss").orderBy(rank.desc(), F.desc("miss_streak"), "kind", "id").limit(limit)
 
 

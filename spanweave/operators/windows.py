@@ -17,18 +17,21 @@ def window_start(received_s: Column, size: int = WINDOW_SECONDS) -> Column:
     return F.floor((received_s + F.lit(shift)) / size).cast("bigint") * size - F.lit(shift)
 
 
-def assign(spans: DataFrame, size: int = WINDOW_SECONDS, cap: int = MAX_SPANS, policy: str = "drop") -> DataFrame:
+def assign(spans: DataFrame, size: int = WINDOW_SECONDS, cap: int | None = MAX_SPANS, policy: str = "drop") -> DataFrame:
     """Spans (received_s, event_s, seq, ...) with window_start, late, kept.
 
     A span belongs to the window that it arrives in; it is late if it happened before that window began. Late spans go under
     policy `drop` and stay under `current_window`; of the others the first `cap` by arrival stay. Ranks are taken of survivors;
     the rank needs the window's arrivals in order, which a window of bounded capacity and length keeps small: rows are
-    first cut to the cap within each of several ranges of seq, so that one flooded window is ranked in parts.
+    first cut to the cap within each of several ranges of seq, so that one flooded window is ranked in parts. Without a cap
+    all that fit stay, and nothing is ranked.
     """
     if policy not in POLICIES:
         raise ValueError(f"unknown late policy {policy!r}")
     rows = spans.withColumn("window_start", window_start(F.col("received_s"), size)).withColumn("late", F.coalesce(F.col("event_s") < F.col("window_start"), F.lit(False)))
     fits = ~F.col("late") if policy == "drop" else F.lit(True)
+    if cap is None:
+        return rows.withColumn("kept", fits)
     rows = rows.withColumn("_fits", fits).withColumn("_part", F.floor(F.col("seq") / cap))
     counts = rows.where("_fits").groupBy("window_start", "_part").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("window_start").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))

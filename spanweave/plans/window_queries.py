@@ -8,7 +8,7 @@ from ..operators import reconcile, snapshot, windows
 from . import views
 from .queries import register
 
-DAY, CAP = 86_400, 250
+DAY, CAP = 86_400, 250  # the cap is for the queries of ingest, whose feature it is; all others keep every arrival in time
 
 
 def _arrivals(spark: SparkSession, sf_dir: str, view: str = views.V_ARRIVALS) -> DataFrame:
@@ -16,28 +16,29 @@ def _arrivals(spark: SparkSession, sf_dir: str, view: str = views.V_ARRIVALS) ->
     return spark.sql(views.spark_sql(view))
 
 
-def _assigned(spark: SparkSession, sf_dir: str, policy: str = "drop") -> DataFrame:
-    return windows.assign(_arrivals(spark, sf_dir), DAY, CAP, policy)
+def _assigned(spark: SparkSession, sf_dir: str, policy: str = "drop", cap: int | None = None) -> DataFrame:
+    return windows.assign(_arrivals(spark, sf_dir), DAY, cap, policy)
 
 
-def _sql(body: str, policy: str = "drop") -> str:
+def _sql(body: str, policy: str = "drop", cap: int | None = None) -> str:
     fits = "NOT late" if policy == "drop" else "true"
+    kept = f"{fits} AND row_number() OVER (PARTITION BY window_start, {fits} ORDER BY seq) <= {cap}" if cap else fits
     return f"""WITH RECURSIVE v AS ({views.duck_sql(views.V_ARRIVALS)}),
 a AS (SELECT *, event_s < window_start AS late FROM (SELECT *, received_s - received_s % {DAY} AS window_start FROM v)),
-w AS (SELECT *, {fits} AND row_number() OVER (PARTITION BY window_start, {fits} ORDER BY seq) <= {CAP} AS kept FROM a){body}"""
+w AS (SELECT *, {kept} AS kept FROM a){body}"""
 
 
 _COUNTS = " SELECT window_start, count(*) FILTER (WHERE kept) AS spans, count(DISTINCT CASE WHEN kept THEN trace_id END) AS traces, count(*) FILTER (WHERE NOT kept) AS dropped_spans, count(*) FILTER (WHERE late) AS late_spans FROM w GROUP BY window_start"
 
 
-@register(_sql(_COUNTS))
+@register(_sql(_COUNTS, cap=CAP))
 def tumbling_ingest_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.ingest_counts(_assigned(spark, sf_dir))
+    return windows.ingest_counts(_assigned(spark, sf_dir, cap=CAP))
 
 
-@register(_sql(_COUNTS, "current_window"))
+@register(_sql(_COUNTS, "current_window", CAP))
 def tumbling_ingest_current_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.ingest_counts(_assigned(spark, sf_dir, "current_window"))
+    return windows.ingest_counts(_assigned(spark, sf_dir, "current_window", CAP))
 
 
 @register(_sql(" SELECT window_start, source_type AS type, connector, '' AS ref, count(*) AS observations FROM w GROUP BY ALL"))
@@ -101,10 +102,10 @@ def gap_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", soft.cast("double").alias("soft"), hard.cast("double").alias("hard"))
 
 
-@register("""SELECT 'u' || user_id AS id, greatest(0.2::DOUBLE, max(CASE event_type WHEN 'click' THEN 0.35::DOUBLE WHEN 'view' THEN 0.95::DOUBLE WHEN 'error' THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END)) AS strength FROM events WHERE value > 60 GROUP BY user_id""")
+@register("""SELECT 'u' || user_id AS id, greatest(0.2::DOUBLE, max(CASE event_type WHEN 'click' THEN 0.35::DOUBLE WHEN 'view' THEN 0.95::DOUBLE WHEN 'error' THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END)) AS strength FROM events GROUP BY user_id""")
 def source_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("event_type") == "click", "traces").when(F.col("event_type") == "view", "topology_api").when(F.col("event_type") == "error", "overlay").otherwise("other")
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").where("value > 60").groupBy(F.concat(F.lit("u"), "user_id").alias("id")).agg(F.collect_set(kind).alias("types"))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.concat(F.lit("u"), "user_id").alias("id")).agg(F.collect_set(kind).alias("types"))
     return rows.select("id", reconcile.source_strength(F.col("types")).alias("strength"))
 
 

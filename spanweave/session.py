@@ -16,7 +16,7 @@ from .operators import discover as ops, overlay, quality, validate as rules
 from .schemas import EDGES, ENDPOINTS, PROVENANCE, SERVICES
 from .sources import documents
 from .sources.documents import Graph
-from .sources.spans_json import read_spans
+from .sources.spans_json import parse_spans, read_files, unreadable_files
 
 #: Contracts of the artifacts by name@version; digests are those of the schema documents that a deployment pins, if any.
 CONTRACTS: dict[str, dict[str, str]] = {
@@ -103,7 +103,7 @@ def _collect(df: DataFrame) -> list[dict]:
 
 
 def check(graph: Graph) -> None:
-    if rows := rules.violations(graph).orderBy("rule", "entity_kind", "entity_id").limit(1000).collect():
+    if rows := rules.violations(graph).orderBy("rule", "entity_kind", "entity_id").collect():
         raise InvalidGraph(rows)
 
 
@@ -152,7 +152,7 @@ def _finish(graph: Graph, discovered_at, score, patches, spans, traces, sources,
     check(graph)
     if patches is not None:
         graph, bad = overlay.apply(graph, patches)
-        if rows := bad.limit(1000).collect():
+        if rows := bad.orderBy("rule", "entity_kind", "entity_id").collect():
             raise InvalidGraph(rows)
         check(graph)
     minima = ops.support_minima(graph.services, graph.edges, graph.endpoints).first().asDict()
@@ -160,16 +160,32 @@ def _finish(graph: Graph, discovered_at, score, patches, spans, traces, sources,
     return Result(graph, model, details, {"confidence": score, **minima}, quality_report(graph), spans, traces, sources)
 
 
+def load_spans(spark: SparkSession, path: str) -> DataFrame:
+    """Spans of a file or folder; ValueError names files that are of no dialect, or says that there is no span."""
+    files = read_files(spark, path)
+    if bad := [r[0] for r in unreadable_files(files).orderBy("file").collect()]:  # names of files, which fail the whole load
+        raise ValueError(f"no trace documents: {', '.join(bad[:20])}" + (f" and {len(bad) - 20} more" if len(bad) > 20 else ""))
+    spans = parse_spans(files)
+    if spans.isEmpty():
+        raise ValueError(f"no spans in {path}")
+    return spans
+
+
 def discover(spark: SparkSession, input: str, out: str | None = None, snapshot_out: str | None = None, quality_out: str | None = None, replicas: str | None = None, discovered_at: str | None = None, overlays: tuple[str, ...] = ()) -> Result:
     """Reads spans, or else a topology, from input; writes the model, its quality sidecar and a snapshot where asked."""
     files = [(p, documents.parse(documents.load_text(spark, p), p) or {}) for p in overlays if p.strip()]
     counts = documents.replica_counts(documents.parse(documents.load_text(spark, replicas), replicas)) if replicas else None
     patches = documents.overlays(spark, files, counts) if files or counts else None
-    spans = read_spans(spark, input)
-    if spans.limit(1).count():
-        result = discover_spans(spark, spans, source_ref(input), discovered_at, patches)
+    try:
+        spans = load_spans(spark, input)
+    except ValueError as e:
+        try:
+            graph = documents.read_topology(spark, input)
+        except Exception as other:
+            raise ValueError(f"input as traces: {e}; as topology: {other}") from e
+        result = discover_topology(spark, graph, discovered_at, patches)
     else:
-        result = discover_topology(spark, documents.read_topology(spark, input), discovered_at, patches)
+        result = discover_spans(spark, spans, source_ref(input), discovered_at, patches)
     if out:
         canon.write_atomic(out, canon.canonical(result.model))
         canon.write_atomic(quality_out or canon.sidecar_path(out), canon.canonical(result.quality))

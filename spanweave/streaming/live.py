@@ -22,13 +22,14 @@ ARRIVALS = SPANS + ", received_s bigint, event_s bigint, source_type string, con
 class Live:
     """Arrivals are buffered as Parquet by window; a window closes once a later one has begun, and close() closes the rest.
 
-    Each batch replaces its own part of the buffer, so a batch that is run again after a failure counts once. Closed windows
-    are handled in order by `sink(window_start, window_end, kept spans, ingest counts)`. What is closed is kept beside the
-    buffer, so a restart goes on where it stopped.
+    A batch is buffered once, also if it is run again after a failure. Closed windows are handled in order by
+    `sink(window_start, window_end, kept spans, ingest counts)`, with `dense` the empty ones between them too, as
+    reconciliation needs them. What is closed is kept beside the buffer, so a restart goes on where it stopped, and leaves
+    the buffer. What lands when its window is closed counts as an arrival of the first open window, whose late policy it meets.
     """
 
-    def __init__(self, spark: SparkSession, sink: Callable[[int, int, DataFrame, dict], None], size: int = windows.WINDOW_SECONDS, cap: int = windows.MAX_SPANS, policy: str = "drop", name: str = "live"):
-        self.spark, self.sink, self.size, self.cap, self.policy = spark, sink, size, cap, policy
+    def __init__(self, spark: SparkSession, sink: Callable[[int, int, DataFrame, dict], None], size: int = windows.WINDOW_SECONDS, cap: int = windows.MAX_SPANS, policy: str = "drop", name: str = "live", dense: bool = False):
+        self.spark, self.sink, self.size, self.cap, self.policy, self.dense = spark, sink, size, cap, policy, dense
         self.folder = f"{shared_dir(spark)}/{name}"
         self.done = self._done()
 
@@ -46,8 +47,13 @@ class Live:
         return max(found, default=None)
 
     def add(self, batch: DataFrame, batch_id: int) -> None:
-        start = windows.window_start(F.col("received_s"), self.size)
-        batch.withColumn("window", start).write.mode("overwrite").partitionBy("window").parquet(f"{self.folder}/buffer/batch={batch_id}")
+        start, marker = windows.window_start(F.col("received_s"), self.size), self._path(f"buffered/{batch_id}")
+        if not self._files().exists(marker):
+            rows = batch
+            if self.done is not None:
+                rows = rows.withColumn("received_s", F.greatest("received_s", F.lit(self.done + self.size).cast("bigint")))
+            rows.withColumn("window", start).write.mode("overwrite").partitionBy("window").parquet(f"{self.folder}/buffer/batch={batch_id}")
+            self._files().mkdirs(marker)
         newest = batch.agg(F.max(start)).first()[0]
         if newest is not None:
             self._close_before(newest)
@@ -60,16 +66,22 @@ class Live:
             return
         rows = self.spark.read.schema(f"{ARRIVALS}, window bigint, batch bigint").parquet(f"{self.folder}/buffer")
         due = rows.where(F.lit(True) if newest is None else F.col("window") < newest).where(F.lit(True) if self.done is None else F.col("window") > self.done)
-        for r in due.select("window").distinct().orderBy("window").collect():  # windows that have just ended
-            start = r["window"]
+        starts = [r["window"] for r in due.select("window").distinct().orderBy("window").collect()]  # windows that have just ended
+        if self.dense and starts:
+            first = starts[0] if self.done is None else self.done + self.size
+            starts = list(range(first, starts[-1] + 1 if newest is None else newest, self.size))
+        for start in starts:
             assigned = windows.assign(due.where(F.col("window") == start), self.size, self.cap, self.policy).cache()
             try:
-                counts = windows.ingest_counts(assigned).first().asDict()
+                counts = windows.ingest_counts(assigned).first()
+                counts = counts.asDict() if counts else {"window_start": start, "spans": 0, "traces": 0, "dropped_spans": 0, "late_spans": 0}
                 self.sink(start, start + self.size, assigned.where("kept"), counts)
             finally:
                 assigned.unpersist()
             self._files().mkdirs(self._path(f"closed/{start}"))
             self.done = start
+            for found in self._files().globStatus(self._path(f"buffer/batch=*/window={start}")):
+                self._files().delete(found.getPath(), True)
 
     def start(self, landing: str, trigger: dict | None = None) -> StreamingQuery:
         """Arrivals from Parquet files that appear in a landing folder."""
