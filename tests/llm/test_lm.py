@@ -141,7 +141,7 @@ def test_lm_score_is_brute_force(spark, monkeypatch):
     kept = {}
     train = lm.train
     monkeypatch.setattr(lm, "train", lambda *a: kept.setdefault("model", train(*a)))
-    monkeypatch.setattr(lm, "DICTIONARY_ROWS", 50)
+    monkeypatch.setattr(lm, "HOT_WORDS", 40)
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60 and n_chars < 1500").select("doc_id", "text", F.lit("x").alias("score"), F.lit(1).alias("n"))
     docs = docs.unionByName(spark.createDataFrame([(900, None, "x", 1), (901, "", "x", 1), (None, "the The", "x", 1), (901, "", "x", 1), (902, "zzzz " * 3000, "x", 1), (903, "w" * 200 + " the " + "w" * 200, "x", 1)], "doc_id long, text string, score string, n int"))
     learn = F.coalesce(F.col("doc_id") % 3 != 0, F.lit(True))
