@@ -20,6 +20,8 @@ CACHE_PIECES = 200_000
 #: Pieces that go through the model at a time.
 PIECES = 5_000
 
+# The pattern that the shorter ways below are for; any other takes none of them.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # The pattern's parts for texts of ASCII and Latin-1 letters alone, where re agrees with the Unicode classes.
 _PLAIN = re.compile(r"[^\x00-\x1b\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]")
 _FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -77,7 +79,8 @@ class Codec(Decoder):
 
         ranks = read_ranks(ranks_path)
         super().__init__(ranks)
-        self.pattern = _full(pattern)
+        self.usual = pattern == PATTERN
+        self.pattern = _full(pattern) if self.usual else regex.compile(pattern)
         self.chars = byte_table()
         self.ascii = {b: c for b, c in self.chars.items() if b < 128}
         shown = {token: "".join(map(self.chars.__getitem__, token)) for token in ranks}
@@ -95,18 +98,20 @@ class Codec(Decoder):
         self.ids, self.used = np.zeros(1 << 18, np.int32), 0
 
     def _split(self, text: str) -> list[str]:
+        if not self.usual:
+            return [m.group() for m in self.pattern.finditer(text)]
         return (self.pattern if _PLAIN.search(text) else _FAST).findall(text)
 
     def _chunks(self, text: str) -> list[str]:
-        """Parts that begin at single spaces within visible text; no match of the pattern crosses such a place."""
-        if _EDGE.search(text):
+        """Parts that begin at single spaces within visible text; no match of the usual pattern crosses such a place. Else its matches."""
+        if not self.usual or _EDGE.search(text):
             return self._split(text)
         head, *rest = text.split(" ")
         return [head, *[" " + x for x in rest]] if head or rest else []
 
     def encode_new(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row and where each one's end, from 0; their pieces go through the model together, each on its own."""
-        pieces = [self._split(chunk) for chunk in new]
+        """Ids of all chunks in a row and where each one's end, from 0; their pieces go through the model together, each on its own."""
+        pieces = [self._split(chunk) for chunk in new] if self.usual else [[chunk] for chunk in new]
         shown = [piece.translate(self.ascii) if piece.isascii() else "".join(map(self.chars.__getitem__, piece.encode())) for own in pieces for piece in own]
         if not shown:
             return np.zeros(0, np.int32), np.zeros(len(new) + 1, np.int64)

@@ -63,3 +63,18 @@ def test_nulls_empty_and_special(spark):
     back = [bytes(r.decoded).decode() for r in bpe_decode(bpe_encode(rows, RANKS, PATTERN), RANKS, PATTERN).collect()]
     assert back == ["", "", "<|endoftext|>", "a" * 300_000, "b  c"]
     assert bpe_encode(rows.limit(0), RANKS, PATTERN).count() == 0
+
+
+@pytest.mark.parametrize("pattern", [r"\p{L}+|\p{N}{1,3}|[^\p{L}\p{N}]", r"(?i:'s|'t)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"])
+def test_other_patterns(pattern):
+    with open(RANKS, "rb") as f:
+        own = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, special_tokens={})
+    texts = ["abc 12345", "It's  a\n\ntest, of 1234567 things", "", "élan vital 漢字", "a " * 50]
+    ids, ends = codec(RANKS, pattern).encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == [own.encode_ordinary(t) for t in texts]
+
+
+def test_the_usual_pattern_is_the_public_one():
+    from spanweave.llm import bpe
+
+    assert bpe.PATTERN == PATTERN
