@@ -110,8 +110,8 @@ def source_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _world(spark: SparkSession, sf_dir: str) -> tuple[list, DataFrame]:
-    """A graph for each five days: event types are services, pairs of a user's successive kept events edges, users endpoints."""
-    assigned = windows.assign(_arrivals(spark, sf_dir, views.V_USER_ARRIVALS), 5 * DAY, 10_000)
+    """A graph for each day: event types are services, pairs of a user's successive kept events edges, users endpoints."""
+    assigned = windows.assign(_arrivals(spark, sf_dir, views.V_USER_ARRIVALS), DAY, 10_000)
     kept = assigned.where("kept")
     none = F.lit(None).cast("string")
     s = kept.groupBy("window_start", F.col("service").alias("id")).agg(F.count("*").alias("observations")).select("window_start", F.lit("service").alias("kind"), "id", none.alias("source"), none.alias("target"), "observations")
@@ -121,8 +121,8 @@ def _world(spark: SparkSession, sf_dir: str) -> tuple[list, DataFrame]:
     n = kept.where("trace_id is not null").groupBy("window_start", "trace_id").agg(F.min("service").alias("source"), F.count("*").alias("observations"))
     n = n.select("window_start", F.lit("endpoint").alias("kind"), F.col("trace_id").alias("id"), "source", none.alias("target"), "observations")
     rows = s.unionByName(e).unionByName(n).withColumn("strength", F.lit(reconcile.TRACES))
-    counts = windows.dense_windows(windows.ingest_counts(assigned), 5 * DAY).orderBy("window_start").collect()  # one row per window, which the fold takes in order
-    return [(r["window_start"], r["window_start"] + 5 * DAY, (r["spans"], r["dropped_spans"], r["late_spans"])) for r in counts], rows
+    counts = windows.dense_windows(windows.ingest_counts(assigned), DAY).orderBy("window_start").collect()  # one row per window, which the fold takes in order
+    return [(r["window_start"], r["window_start"] + DAY, (r["spans"], r["dropped_spans"], r["late_spans"])) for r in counts], rows
 
 
 def _folded(spark: SparkSession, sf_dir: str):
@@ -133,30 +133,95 @@ def _folded(spark: SparkSession, sf_dir: str):
     return last
 
 
-@register()
+def _clamp(x: str) -> str:
+    return f"CASE WHEN {x} <= 0 THEN 0.0::DOUBLE WHEN {x} >= 1 THEN 1.0::DOUBLE ELSE floor(({x}) * 1000.0::DOUBLE + 0.5::DOUBLE) / 1000.0::DOUBLE END"
+
+
+def _fold_sql() -> str:
+    """The whole fold as one recursive query: each turn takes the state of the window before to that of the next.
+
+    Rows of f: v (window number), the globals on a row of kind '#', and entities after the window; `gone` if compaction drops them.
+    """
+    c, size = reconcile.Config(), DAY
+    d = lambda x: f"{float(x)}::DOUBLE"
+    why = {k: f"'{v}'" for k, v in reconcile.REASONS.items()}
+    start = f"CAST(floor(received_s / {size}.0) AS BIGINT) * {size}"
+    return f"""WITH RECURSIVE x AS ({views.duck_sql(views.V_USER_ARRIVALS)}),
+a AS (SELECT *, event_s < w AS late FROM (SELECT *, {start} AS w FROM x)),
+k AS (SELECT *, NOT late AND row_number() OVER (PARTITION BY w, late ORDER BY seq) <= 10000 AS kept FROM a),
+ends AS (SELECT min(w) AS lo, max(w) AS hi FROM k),
+win AS (SELECT row_number() OVER (ORDER BY w) AS v, w, w + {size} AS w_end FROM (SELECT unnest(range(lo, hi + 1, {size})) AS w FROM ends)),
+ing AS (SELECT v, win.w, w_end, count(*) FILTER (WHERE kept) AS spans, count(k.w) - count(*) FILTER (WHERE kept) AS dropped, count(*) FILTER (WHERE late) AS late FROM win LEFT JOIN k ON k.w = win.w GROUP BY ALL),
+kk AS (SELECT v, service, trace_id, lag(service) OVER (PARTITION BY v, trace_id ORDER BY seq) AS before FROM k JOIN win ON k.w = win.w WHERE kept),
+seen AS (SELECT v, 'service' AS kind, service AS id, NULL AS source, NULL AS target, count(*) AS obs FROM kk GROUP BY v, service
+  UNION ALL SELECT v, 'edge', before || '|' || service, before, service, count(*) FROM kk WHERE before <> service GROUP BY v, before, service
+  UNION ALL SELECT v, 'endpoint', trace_id, min(service), NULL, count(*) FROM kk WHERE trace_id IS NOT NULL GROUP BY v, trace_id),
+f AS (
+  SELECT 0::BIGINT AS v, '#' AS kind, '' AS id, NULL::VARCHAR AS source, NULL::VARCHAR AS target, '' AS lifecycle, 0.0::DOUBLE AS existence, 0.0::DOUBLE AS activity, 0::BIGINT AS observed_windows, 0::BIGINT AS opportunity_windows, 0::BIGINT AS miss_streak,
+    0::BIGINT AS last_seen, 0::BIGINT AS last_opportunity, 0.0::DOUBLE AS gap_ema, 0.0::DOUBLE AS strength, NULL::BIGINT AS retired_at, NULL::BIGINT AS updated_at, '' AS reason, false AS miss, false AS gone
+  UNION ALL (
+  WITH g0 AS (SELECT f.v + 1 AS v, w_end, spans, dropped, late, CASE WHEN f.existence = 0 THEN spans::DOUBLE ELSE f.existence * 0.7::DOUBLE + spans * 0.3::DOUBLE END AS ema, f.last_seen AS compacted FROM f JOIN ing ON ing.v = f.v + 1 WHERE f.kind = '#'),
+  g1 AS (SELECT *, greatest(1, spans + dropped)::DOUBLE AS total, CASE WHEN ema > 0 THEN spans / ema ELSE 1.0::DOUBLE END AS ratio FROM g0),
+  g2 AS (SELECT *, 1.0::DOUBLE - 0.55::DOUBLE * (dropped / total) - 0.25::DOUBLE * (late / total) - CASE WHEN ema >= {2 * c.min_observations} AND ratio < 0.35::DOUBLE THEN 0.25::DOUBLE * (0.35::DOUBLE - ratio) / 0.35::DOUBLE ELSE 0.0::DOUBLE END AS raw FROM g1),
+  g AS (SELECT *, {_clamp("raw")} < {d(c.freeze_below)} AS frozen, v - compacted >= {c.compact_every} AS due FROM g2),
+  now AS (SELECT seen.* FROM seen JOIN g ON seen.v = g.v),
+  b AS (SELECT coalesce(o.kind, n.kind) AS kind, coalesce(o.id, n.id) AS id, coalesce(n.source, o.source) AS source, coalesce(n.target, o.target) AS target, coalesce(o.lifecycle, 'candidate') AS was, coalesce(o.existence, 0.25::DOUBLE) AS ex, coalesce(o.activity, 0.2::DOUBLE) AS ac,
+      coalesce(o.observed_windows, 0) AS ow, coalesce(o.opportunity_windows, 0) AS pw, coalesce(o.miss_streak, 0) AS ms, coalesce(o.last_seen, 0) AS ls, coalesce(o.last_opportunity, 0) AS lo, coalesce(o.gap_ema, 1.0::DOUBLE) AS ge, coalesce(o.strength, 0.0::DOUBLE) AS st,
+      o.retired_at, o.updated_at, o.reason, n.obs, n.id IS NOT NULL AS observed FROM (SELECT * FROM f WHERE kind <> '#' AND NOT gone) o FULL JOIN now n ON o.kind = n.kind AND o.id = n.id),
+  sup AS (SELECT id, obs FROM now WHERE kind = 'service'),
+  direct AS (SELECT id, obs FROM sup UNION ALL SELECT source, obs FROM now WHERE kind = 'endpoint' UNION ALL SELECT source, obs FROM now WHERE kind = 'edge' UNION ALL SELECT target, obs FROM now WHERE kind = 'edge'
+      UNION ALL SELECT b.source, sup.obs FROM b JOIN sup ON b.source = sup.id WHERE b.kind = 'edge' UNION ALL SELECT b.target, sup.obs FROM b JOIN sup ON b.source = sup.id WHERE b.kind = 'edge'),
+  so AS (SELECT id, sum(obs)::BIGINT AS opp FROM direct GROUP BY id),
+  r0 AS (SELECT b.*, g.v, g.w_end, g.frozen, g.due, coalesce(CASE b.kind WHEN 'service' THEN so.opp WHEN 'endpoint' THEN coalesce(b.obs, sup.obs) ELSE sup.obs END, 0) AS opp
+      FROM b CROSS JOIN g LEFT JOIN so ON b.kind = 'service' AND so.id = b.id LEFT JOIN sup ON sup.id = b.source),
+  r1 AS (SELECT *, NOT observed AND opp >= {c.min_observations} AS miss FROM r0),
+  r2 AS (SELECT *, CASE WHEN observed THEN greatest(st, {d(reconcile.TRACES)}) ELSE st END AS strength, CASE WHEN observed AND ls > 0 THEN greatest(1.0::DOUBLE, ge * {d(1 - c.gap_alpha)} + (v - ls)::DOUBLE * {d(c.gap_alpha)}) WHEN observed THEN 1.0::DOUBLE ELSE ge END AS gap_ema,
+      CASE WHEN observed THEN 0 WHEN miss THEN ms + 1 ELSE ms END AS miss_streak FROM r1),
+  r3 AS (SELECT *, greatest(ceil(gap_ema * {d(c.soft_multiplier)}), {c.soft_least}) + floor(strength * {d(c.soft_resistance)} + 0.5::DOUBLE) AS soft, greatest(ceil(gap_ema * {d(c.hard_multiplier)}), {c.hard_least}) + floor(strength * {d(c.hard_resistance)} + 0.5::DOUBLE) AS hard0,
+      1.0::DOUBLE - least(0.8::DOUBLE, strength * 0.6::DOUBLE) AS resist, {_clamp("obs::DOUBLE / 10.0::DOUBLE")} AS support FROM r2),
+  r4 AS (SELECT *, greatest(hard0, soft) AS hard, greatest(0.0::DOUBLE, (miss_streak - soft + 1)::DOUBLE) AS more, CASE WHEN frozen THEN 0.35::DOUBLE ELSE 1.0::DOUBLE END AS soften FROM r3),
+  r5 AS (SELECT *, ex + {d(c.existence_boost)} * (0.4::DOUBLE + 0.6::DOUBLE * support) AS ex_up, ex - ({d(c.miss_existence)} + {d(c.miss_more)} * more) * resist * soften AS ex_down, ac + {d(c.activity_boost)} AS ac_up, ac - ({d(c.miss_activity)} + {d(c.miss_more)} * more) * resist AS ac_down, ac - {d(c.passive_decay)} AS ac_idle FROM r4),
+  r6 AS (SELECT *, CASE WHEN observed THEN {_clamp("ex_up")} WHEN miss AND miss_streak >= soft THEN {_clamp("ex_down")} ELSE ex END AS existence, CASE WHEN observed THEN {_clamp("ac_up")} WHEN miss THEN {_clamp("ac_down")} ELSE {_clamp("ac_idle")} END AS activity FROM r5),
+  r7 AS (SELECT *, CASE WHEN NOT observed AND NOT miss THEN was WHEN NOT observed AND NOT frozen AND miss_streak >= hard AND existence <= {d(c.retire_existence)} THEN 'retired' WHEN NOT observed AND miss_streak >= soft THEN 'stale' WHEN existence >= {d(c.stable_existence)} THEN 'active' ELSE 'candidate' END AS lifecycle FROM r6),
+  r8 AS (SELECT *, CASE WHEN observed THEN NULL WHEN miss AND lifecycle = 'retired' THEN CASE WHEN was = 'retired' THEN coalesce(retired_at, w_end) ELSE w_end END ELSE retired_at END AS gone_at,
+      CASE WHEN observed THEN {why["observed"]} WHEN NOT miss THEN {why["no_opportunity"]} WHEN lifecycle = 'retired' THEN {why["retired"]} WHEN lifecycle = 'stale' THEN CASE WHEN frozen THEN {why["stale_frozen"]} ELSE {why["stale"]} END WHEN existence >= {d(c.stable_existence)} THEN {why["active"]} ELSE {why["candidate"]} END AS why FROM r7),
+  r9 AS (SELECT *, lifecycle = 'retired' AND coalesce(w_end - gone_at, 0) > {c.retired_ttl_s} AS old, row_number() OVER (PARTITION BY kind, lifecycle = 'retired', lifecycle = 'retired' AND coalesce(w_end - gone_at, 0) > {c.retired_ttl_s} ORDER BY gone_at DESC NULLS LAST, id DESC) AS place FROM r8),
+  r10 AS (SELECT *, row_number() OVER (PARTITION BY lifecycle = 'retired' AND NOT old AND place <= {c.retired_per_kind} ORDER BY gone_at DESC NULLS LAST, id DESC, kind) AS overall FROM r9)
+  SELECT v, kind, id, source, target, lifecycle, existence, activity, (ow + observed::BIGINT)::BIGINT, (pw + miss::BIGINT)::BIGINT, miss_streak::BIGINT, CASE WHEN observed THEN v ELSE ls END::BIGINT, CASE WHEN miss THEN v ELSE lo END::BIGINT, gap_ema, strength, gone_at::BIGINT,
+    CASE WHEN observed OR miss THEN w_end ELSE updated_at END::BIGINT, why, miss, due AND lifecycle = 'retired' AND (old OR place > {c.retired_per_kind} OR overall > {c.retired_overall}) FROM r10
+  UNION ALL SELECT v, '#', '', NULL, NULL, '', ema, 0, 0, 0, 0, CASE WHEN due THEN v ELSE compacted END, 0, 0, 0, NULL, NULL, '', false, false FROM g)),
+last AS (SELECT * FROM f WHERE v = (SELECT max(v) FROM f) AND kind <> '#'), s AS (SELECT * EXCLUDE (v, miss, gone) FROM last WHERE NOT gone)"""
+
+
+_CLOSED = """, c AS (SELECT * FROM s WHERE {0}), n AS (SELECT id FROM c WHERE kind = 'service')
+SELECT * FROM c WHERE kind = 'service' OR source IN (SELECT id FROM n) AND (kind = 'endpoint' OR target IN (SELECT id FROM n))"""
+
+
+@register(_fold_sql() + " SELECT * FROM s")
 def reconcile_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _folded(spark, sf_dir)[2]
 
 
-@register()
+@register(_fold_sql() + _CLOSED.format("lifecycle = 'active' AND existence >= 0.7::DOUBLE AND activity >= 0.35::DOUBLE"))
 def stable_core(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.stable_core(_folded(spark, sf_dir)[2])
 
 
-@register()
+@register(_fold_sql() + _CLOSED.format("lifecycle <> 'retired' AND (last_seen = (SELECT max(v) FROM f) OR strength >= 0.9::DOUBLE OR existence >= 0.3::DOUBLE)"))
 def guardrail_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, _, state, globals_, _ = _folded(spark, sf_dir)
     return reconcile.guardrail_union(state, globals_.version)
 
 
-@register()
+@register(_fold_sql() + " SELECT kind, " + ", ".join(f"count(*) FILTER (WHERE lifecycle = '{x}') AS {x}" for x in ("candidate", "active", "stale", "retired")) + " FROM s GROUP BY kind")
 def lifecycle_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.lifecycle_counts(_folded(spark, sf_dir)[2])
 
 
-@register()
+@register(_fold_sql() + """ SELECT kind, id, lifecycle, miss_streak, reason FROM last WHERE lifecycle IN ('stale', 'retired') OR miss
+ORDER BY CASE lifecycle WHEN 'retired' THEN 4 WHEN 'stale' THEN 3 WHEN 'candidate' THEN 2 ELSE 1 END DESC, miss_streak DESC, kind, id LIMIT 10""")
 def attention_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconcile.attention(_folded(spark, sf_dir)[1])
+    return reconcile.attention(_folded(spark, sf_dir)[1]).select("kind", "id", "lifecycle", "miss_streak", "reason")
 
 
 @register(f"""WITH s AS (SELECT CASE WHEN mod(c_custkey, 3) = 0 THEN 'service' WHEN mod(c_custkey, 3) = 1 THEN 'edge' ELSE 'endpoint' END AS kind, 'e' || c_custkey AS id, CASE WHEN mod(c_custkey, 4) = 0 THEN 'active' ELSE 'retired' END AS lifecycle, 1000000 - mod(c_custkey * 37, 997) * 100 AS retired_at FROM customer),
