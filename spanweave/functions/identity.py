@@ -24,7 +24,7 @@ def facts(kind: Column, name: Column, attributes: Column) -> Column:
     named, path = name_method(name), name_path(name)
     signals = [F.when(k.isin("producer", "consumer"), F.concat(F.lit("span.kind="), k)), *[F.when(F.coalesce(attributes[x], F.lit("")) != "", F.lit(x)) for x in ASYNC_KEYS]]
     return F.struct(
-        F.filter(F.array(*signals), lambda x: x.isNotNull()).alias("signals"),
+        F.concat_ws(",", *signals).alias("signals"),
         method.alias("method"), named.alias("named"), route.alias("route"), F.when(named != "", path).otherwise("").alias("named_path"),
         a("rpc.system", "network.protocol.name").alias("protocol"), a("rpc.method", "messaging.operation").alias("operation"),
         a("messaging.system").alias("system"), a("messaging.destination", "messaging.destination.name").alias("topic"),
@@ -33,15 +33,13 @@ def facts(kind: Column, name: Column, attributes: Column) -> Column:
 
 
 def edge_kind(parent: Column, child: Column) -> Column:
-    return F.when((F.size(parent["signals"]) > 0) | (F.size(child["signals"]) > 0), "async").otherwise("sync")
+    return F.when((parent["signals"] != "") | (child["signals"] != ""), "async").otherwise("sync")
 
 
 def edge_evidence(parent: Column, child: Column) -> Column:
     """Why the edge is of its kind, as a sorted set."""
-    own = F.when(F.size(parent["signals"]) > 0, F.concat(F.array(F.lit("parent_async_signal")), parent["signals"])).when(
-        F.size(child["signals"]) > 0, F.concat(F.array(F.lit("child_async_signal")), child["signals"])
-    )
-    return F.array_sort(F.array_distinct(F.coalesce(own, F.array(F.lit("default_sync")))))
+    own = F.when(parent["signals"] != "", F.concat_ws(",", F.lit("parent_async_signal"), parent["signals"])).when(child["signals"] != "", F.concat_ws(",", F.lit("child_async_signal"), child["signals"]))
+    return F.sort_array(F.split(F.coalesce(own, F.lit("default_sync")), ","))
 
 
 def edge_identity(parent: Column, child: Column) -> Column:

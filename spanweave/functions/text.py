@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-#: White space at either end, as Unicode has it; trim() takes U+0020 alone.
-_EDGE = r"^[\s\x{85}\x{A0}\p{Z}]+|[\s\x{85}\x{A0}\p{Z}]+$"
+# White space as Unicode has it; trim() alone takes U+0020.
+SPACES = " \t\n\x0b\f\r" + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 HTTP_METHODS = ("GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS")
 
 
@@ -16,12 +16,12 @@ def let(value: Column, f) -> Column:
 
 def strip(c: Column) -> Column:
     """Without white space at the ends; null gives ''."""
-    return F.regexp_replace(F.coalesce(c, F.lit("")), _EDGE, "")
+    return F.btrim(F.coalesce(c, F.lit("")), F.lit(SPACES))
 
 
 def first_filled(*columns: Column) -> Column:
     """The first argument that is not ''; '' if none."""
-    return F.coalesce(F.get(F.filter(F.array(*columns), lambda x: x != ""), F.lit(0)), F.lit(""))
+    return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns], F.lit(""))
 
 
 def first_nonblank(*columns: Column) -> Column:
@@ -48,9 +48,13 @@ def span_path(path: Column) -> Column:
         return F.coalesce(F.try_url_decode(F.replace(inner, F.lit("+"), F.lit("%2B"))), inner)
 
     def bare(p: Column) -> Column:
-        return F.when(p.rlike("^https?://"), let(F.regexp_extract(p, r"(?s)^https?://[^/?]*([^?#]*)", 1), decode)).otherwise(F.regexp_replace(p, r"(?s)\?.*$", ""))
+        web = p.startswith("http://") | p.startswith("https://")
+        return F.when(web, let(F.regexp_extract(p, r"(?s)^https?://[^/?]*([^?#]*)", 1), decode)).otherwise(F.substring_index(p, "?", 1))
 
-    return let(strip(path), lambda p: F.when(p == "", "").otherwise(F.regexp_replace(bare(p), "^(?!/)", "/")))
+    def rooted(p: Column) -> Column:
+        return F.when(p.startswith("/"), p).otherwise(F.concat(F.lit("/"), p))
+
+    return let(strip(path), lambda p: F.when(p == "", "").otherwise(let(bare(p), rooted)))
 
 
 def document_path(path: Column) -> Column:
