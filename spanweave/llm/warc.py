@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .common import materialize
+
 #: Seconds of a time bucket; a URL's captures are ordered within a bucket, buckets are chained by one row each.
 BUCKET_SECONDS = 3600
 
@@ -46,10 +48,18 @@ def latest_earlier(records: DataFrame, key: str, time: str, record: str, is_targ
     return found.withColumn("ref", F.coalesce("_inside", "_carried")["r"]).drop("_bucket", "_target", "_inside", "_carried")
 
 
+def lower_names(headers: Column) -> Column:
+    """Header names in lower case; of names that then are equal, the value of the last one as the names were."""
+    entries = F.array_sort(F.map_entries(headers))
+    merged = F.aggregate(entries, F.create_map().cast("map<string,string>"), lambda m, e: F.map_concat(F.map_filter(m, lambda k, v: k != F.lower(e["key"])), F.create_map(F.lower(e["key"]), e["value"])))
+    return F.when(F.exists(F.map_keys(headers), lambda k: k != F.lower(k)), merged).otherwise(headers)
+
+
 def resolve_revisits(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
     """(record_id, canonical_url, status, ref_id, headers map, body): one row per record.
 
-    records: record_id, warc_type, url, date timestamp, http_status, headers map<string,string> (names in lower case), body.
+    records: record_id (of any type that has an order, such as a URN), warc_type, url, date timestamp, http_status, headers
+    map<string,string> (names of any case; they come out in lower case), body.
     A full response (warc_type response, status 200) is `response` and keeps its own headers and body. A not-modified revisit
     (warc_type revisit, status 304) refers to the latest earlier full response of its canonical URL and is
     `resolved` if its ETag equals that response's (weakly: W/ aside), or, without one, its Last-Modified does;
@@ -58,19 +68,22 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -
 
     Equal dates are ordered by record_id; repeated records give repeated rows, each target counting once (record ids name
     captures, so the first of a repeated id's bodies by header text is used). Null URLs and dates have no earlier response;
-    null headers count as none. Empty table, empty result. Only ids take part in the as-of step; bodies are joined by id
-    afterwards, a join that AQE can split where many revisits have one response.
+    null headers count as none. Empty table, empty result. Only ids take part in the as-of step; of the bodies, those that are
+    referred to are joined by id afterwards, a join that AQE can split where many revisits have one response.
     """
+    kind = records.schema["record_id"].dataType
     none = F.create_map().cast("map<string,string>")
-    rows = records.select("record_id", canonical_url(F.col("url")).alias("canonical_url"), "date", "warc_type", "http_status", F.coalesce("headers", none).alias("headers"), "body")
+    rows = records.select("record_id", canonical_url(F.col("url")).alias("canonical_url"), "date", "warc_type", "http_status", lower_names(F.coalesce("headers", none)).alias("headers"), "body")
     full = F.coalesce((F.col("warc_type") == "response") & (F.col("http_status") == 200), F.lit(False))
     unchanged = F.coalesce((F.col("warc_type") == "revisit") & (F.col("http_status") == 304), F.lit(False))
 
-    whole = rows.where(full).select("record_id", "canonical_url", F.lit("response").alias("status"), F.lit(None).cast("long").alias("ref_id"), "headers", "body")
-    other = rows.where(~full & ~unchanged).select("record_id", "canonical_url", F.lit("other").alias("status"), F.lit(None).cast("long").alias("ref_id"), "headers", "body")
+    whole = rows.where(full).select("record_id", "canonical_url", F.lit("response").alias("status"), F.lit(None).cast(kind).alias("ref_id"), "headers", "body")
+    other = rows.where(~full & ~unchanged).select("record_id", "canonical_url", F.lit("other").alias("status"), F.lit(None).cast(kind).alias("ref_id"), "headers", "body")
     slim = rows.where(full | unchanged).select("record_id", "canonical_url", "date", F.when(unchanged, F.col("headers")).alias("own"), unchanged.alias("revisit"))
     asked = latest_earlier(slim, "canonical_url", "date", "record_id", ~F.col("revisit"), bucket_seconds).where("revisit").select("record_id", "canonical_url", "own", "ref")
-    stored = rows.where(full).groupBy(F.col("record_id").alias("ref")).agg(F.min_by(F.struct("headers", "body"), F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(":"), F.coalesce(e["value"], F.lit(""))))), "\n")).alias("full"))
+    asked = materialize(asked, "revisits")
+    named = rows.where(full).join(asked.select(F.col("ref").alias("_ref")).distinct(), F.col("record_id") == F.col("_ref"), "left_semi")
+    stored = named.groupBy(F.col("record_id").alias("ref")).agg(F.min_by(F.struct("headers", "body"), F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(":"), F.coalesce(e["value"], F.lit(""))))), "\n")).alias("full"))
     joined = asked.join(stored, "ref", "left")
 
     strong = lambda c: F.regexp_replace(c, "^W/", "")

@@ -15,6 +15,15 @@ def test_canonical_url(spark):
     assert [r.got for r in df.collect()] == [w for _, w in rows]
 
 
+def test_urns_and_names_of_any_case(spark):
+    rows = [("<urn:uuid:1>", "response", "http://a.org/x", T0, 200, {"ETag": '"a"', "Content-Type": "text/html", "etag": '"b"'}, "body"), ("<urn:uuid:2>", "revisit", "http://a.org/x", T0 + timedelta(days=1), 304, {"ETAG": 'W/"b"', "Expires": "new", "Set-Cookie": "no"}, None)]
+    df = spark.createDataFrame(rows, "record_id string, warc_type string, url string, date timestamp, http_status int, headers map<string,string>, body string")
+    got = {r.record_id: r for r in warc.resolve_revisits(df).collect()}
+    again = got["<urn:uuid:2>"]
+    assert (again.status, again.ref_id, again.body) == ("resolved", "<urn:uuid:1>", "body")
+    assert again.headers == {"etag": 'W/"b"', "content-type": "text/html", "expires": "new"} and got["<urn:uuid:1>"].headers["etag"] == '"b"'
+
+
 SCHEMA = "record_id long, warc_type string, url string, date timestamp, http_status int, headers map<string,string>, body string, ref string"
 
 
