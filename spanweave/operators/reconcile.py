@@ -15,6 +15,8 @@ BASE_STRENGTH, TRACES, TOPOLOGY, OVERLAY, OTHER = 0.2, 0.35, 0.95, 1.0, 0.5
 
 # Which lifecycle wants attention first.
 ATTENTION = {"retired": 4, "stale": 3, "candidate": 2, "active": 1}
+# What is wrong with a window's telemetry, as reports say it.
+HEALTH = {"dropped": "high dropped span ratio", "late": "high late span ratio", "volume": "ingest volume below recent baseline", "frozen": "retirement frozen"}
 # Why an entity is where it is, as reports say it.
 REASONS = {
     "observed": "observed in current window",
@@ -120,15 +122,17 @@ def telemetry_health(ema: float, spans: int, dropped: int, late: int, cfg: Confi
     ratio = spans / ema if ema > 0 else 1.0
     score, reasons = 1 - 0.55 * (dropped / total) - 0.25 * (late / total), []
     if dropped / total > 0.15:
-        reasons.append("high dropped-span ratio")
+        reasons.append(HEALTH["dropped"])
     if late / total > 0.2:
-        reasons.append("high late-span ratio")
+        reasons.append(HEALTH["late"])
     if ema >= 2 * cfg.min_observations and ratio < 0.35:
         score -= 0.25 * (0.35 - ratio) / 0.35
-        reasons.append("low volume against the average")
+        reasons.append(HEALTH["volume"])
     three = lambda x: 0.0 if x <= 0 else 1.0 if x >= 1 else math.floor(x * 1000 + 0.5) / 1000
     score = three(score)
-    return ema, Health(three(dropped / total), three(late / total), math.floor(ratio * 1000 + 0.5) / 1000, score, score < cfg.freeze_below, tuple(reasons))
+    if score < cfg.freeze_below:
+        reasons.append(HEALTH["frozen"])
+    return ema, Health(three(dropped / total), three(late / total), three(ratio), score, score < cfg.freeze_below, tuple(reasons))
 
 
 def opportunities(state: DataFrame, seen: DataFrame) -> DataFrame:
@@ -217,19 +221,36 @@ def transitions(stepped: DataFrame) -> DataFrame:
     return stepped.where("before <> lifecycle").select("kind", "id", F.col("before").alias("from"), F.col("lifecycle").alias("to"), "reason")
 
 
-def compact(state: DataFrame, window_end: int, globals_: Globals, cfg: Config = Config()) -> tuple[DataFrame, Globals]:
-    """Every compact_every windows: retired entities older than the TTL go, then the oldest beyond the caps of a kind and of all.
+def evictions(state: DataFrame, window_end: int, cfg: Config = Config()) -> DataFrame:
+    """Retired entities that compaction drops, with why: `expired` beyond the TTL, else `kind` or `overall` beyond that cap.
 
     The caps are the feature here: they bound what is remembered of retired entities. Ranks are taken of retired rows alone,
     and over all kinds of at most three times the cap of a kind.
     """
-    if globals_.version - globals_.last_compaction < cfg.compact_every:
-        return state, globals_
-    rest, retired = state.where("lifecycle <> 'retired'"), state.where(F.col("lifecycle") == "retired").where(F.coalesce(F.lit(window_end) - F.col("retired_at"), F.lit(0)) <= cfg.retired_ttl_s)
+    retired = state.where(F.col("lifecycle") == "retired")
+    old = F.coalesce(F.lit(window_end) - F.col("retired_at"), F.lit(0)) > cfg.retired_ttl_s
     newest = [F.desc("retired_at"), F.desc("id")]
-    retired = retired.withColumn("n", F.row_number().over(Window.partitionBy("kind").orderBy(*newest))).where(F.col("n") <= cfg.retired_per_kind)
-    retired = retired.withColumn("n", F.row_number().over(Window.orderBy(*newest, "kind"))).where(F.col("n") <= cfg.retired_overall).drop("n")
-    return rest.unionByName(retired), replace(globals_, last_compaction=globals_.version)
+    fresh = retired.where(~old).withColumn("n", F.row_number().over(Window.partitionBy("kind").orderBy(*newest)))
+    left = fresh.where(F.col("n") <= cfg.retired_per_kind).withColumn("n", F.row_number().over(Window.orderBy(*newest, "kind")))
+    named = lambda df, why: df.select("kind", "id", F.lit(why).alias("why"))
+    return named(retired.where(old), "expired").unionByName(named(fresh.where(F.col("n") > cfg.retired_per_kind), "kind")).unionByName(named(left.where(F.col("n") > cfg.retired_overall), "overall"))
+
+
+def due(globals_: Globals, cfg: Config = Config()) -> bool:
+    return globals_.version - globals_.last_compaction >= cfg.compact_every
+
+
+def compact(state: DataFrame, window_end: int, globals_: Globals, cfg: Config = Config()) -> tuple[DataFrame, Globals]:
+    """Every compact_every windows the state without evictions."""
+    if not due(globals_, cfg):
+        return state, globals_
+    return state.join(evictions(state, window_end, cfg).drop("why"), ["kind", "id"], "left_anti").select(*state.columns), replace(globals_, last_compaction=globals_.version)
+
+
+def compaction(state: DataFrame, window_end: int, globals_: Globals, cfg: Config = Config()) -> dict:
+    """What compact drops of a state, counted by why."""
+    got = {r["why"]: r["count"] for r in evictions(state, window_end, cfg).groupBy("why").count().collect()} if due(globals_, cfg) else {}
+    return {"performed": due(globals_, cfg), "expired_retired": got.get("expired", 0), "trimmed_per_kind": got.get("kind", 0), "trimmed_overall": got.get("overall", 0)}
 
 
 def stable_core(state: DataFrame, cfg: Config = Config()) -> DataFrame:

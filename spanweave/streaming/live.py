@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import logging
+import time
 from collections.abc import Callable
 from dataclasses import asdict
 from datetime import datetime, timezone
@@ -15,6 +16,7 @@ from .. import canon, session
 from ..operators import discover, reconcile, windows
 from ..operators.common import shared_dir
 from ..schemas import SPANS
+from . import reports
 
 ARRIVALS = SPANS + ", received_s bigint, event_s bigint, source_type string, connector string"
 
@@ -101,14 +103,18 @@ def entities(spans: DataFrame) -> DataFrame:
 
 
 class Reconciling:
-    """A sink that folds windows into belief states and keeps the state as Parquet, one folder per version."""
+    """A sink that folds windows into belief states and keeps the state as Parquet, one folder per version.
 
-    def __init__(self, spark: SparkSession, cfg: reconcile.Config = reconcile.Config(), name: str = "state"):
+    Each window's report is kept beside its state, and written with its summary and the projections' views where `files`
+    (reports.output_paths) says.
+    """
+
+    def __init__(self, spark: SparkSession, cfg: reconcile.Config = reconcile.Config(), name: str = "state", files: dict[str, str] | None = None, metrics: reports.Metrics | None = None):
         self.spark, self.cfg, self.folder = spark, cfg, f"{shared_dir(spark)}/{name}"
+        self.files, self.metrics = files or {}, metrics
         self.globals, self.warnings = reconcile.Globals(), []
+        self.last_report: dict | None = None
         self.state = self._load()
-        self.stepped: DataFrame | None = None
-        self.health: reconcile.Health | None = None
 
     def _load(self) -> DataFrame:
         """The last whole state; a missing one starts anew, an unreadable one too, with a warning."""
@@ -119,44 +125,59 @@ class Reconciling:
         try:
             last = max(int(s.getPath().getName().split("-")[1]) for s in files.listStatus(path) if s.getPath().getName().startswith("globals-"))
             self.globals = reconcile.Globals(**json.loads(self.spark.read.text(f"{self.folder}/globals-{last}").first()[0]))
+            self.last_report = json.loads(self.spark.read.text(f"{self.folder}/report-{last}").first()[0])
             return self.spark.read.schema(reconcile.STATE_COLUMNS).parquet(f"{self.folder}/version-{last}")
         except Exception as e:
-            self.globals = reconcile.Globals()
+            self.globals, self.last_report = reconcile.Globals(), None
             self.warnings.append(f"state could not be read, starting anew: {str(e)[:200]}")
             return reconcile.empty_state(self.spark)
 
+    def _keep(self, name: str, document: dict) -> None:
+        self.spark.createDataFrame([(json.dumps(document),)], "value string").write.mode("overwrite").text(f"{self.folder}/{name}-{self.globals.version}")
+
     def __call__(self, start: int, end: int, spans: DataFrame, ingest: dict) -> None:
         counts = (ingest["spans"], ingest["dropped_spans"], ingest["late_spans"])
-        stepped, self.globals, self.health = reconcile.step(self.state, entities(spans), counts, end, self.globals, self.cfg)
+        seen, before, was = entities(spans), self.state, self.globals
+        stepped, self.globals, health = reconcile.step(before, seen, counts, end, was, self.cfg)
         version = self.globals.version
         stepped.write.mode("overwrite").parquet(f"{self.folder}/stepped-{version}")
-        self.stepped = self.spark.read.schema(stepped.schema).parquet(f"{self.folder}/stepped-{version}")
-        state, self.globals = reconcile.compact(reconcile.state_of(self.stepped), end, self.globals, self.cfg)
+        stepped = self.spark.read.schema(stepped.schema).parquet(f"{self.folder}/stepped-{version}")
+        whole = reconcile.state_of(stepped)
+        dropped = reconcile.compaction(whole, end, self.globals, self.cfg)
+        state, self.globals = reconcile.compact(whole, end, self.globals, self.cfg)
         state.write.mode("overwrite").parquet(f"{self.folder}/version-{version}")
         state = self.spark.read.schema(reconcile.STATE_COLUMNS).parquet(f"{self.folder}/version-{version}")
-        self.globals, self.stable_changed = reconcile.bump(self.globals, "stable", reconcile.fingerprint(reconcile.stable_core(state, self.cfg)))
-        self.globals, self.guardrail_changed = reconcile.bump(self.globals, "guardrail", reconcile.fingerprint(reconcile.guardrail_union(state, version, self.cfg)))
-        self.spark.createDataFrame([(json.dumps(asdict(self.globals)),)], "value string").write.mode("overwrite").text(f"{self.folder}/globals-{version}")
+        raw = stepped.where("observed").select("kind", "id", "source", "target")
+        earlier = self.spark.read.parquet(f"{self.folder}/stepped-{was.version}").where("observed") if was.version else raw.where("false")
+        views = [("raw_window", earlier, raw, version, True, reconcile.fingerprint(raw))]
+        for name, label, project in (("stable", "stable_core", lambda s, v: reconcile.stable_core(s, self.cfg)), ("guardrail", "guardrail_union", lambda s, v: reconcile.guardrail_union(s, v, self.cfg))):
+            now, digest = project(state, version), reconcile.fingerprint(project(state, version))
+            self.globals, changed = reconcile.bump(self.globals, name, digest)
+            setattr(self, f"{name}_changed", changed)
+            views.append((label, project(before, was.version), now, getattr(self.globals, f"{name}_version"), changed, digest))
+        projections = [reports.projection(*v) for v in views]
+        text = lambda t: datetime.fromtimestamp(t, timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+        self.last_report = reports.build((text(start), text(end)), self.globals, health, stepped, projections, dropped, self.warnings, self.cfg)
+        self.warnings = []
+        self._keep("report", self.last_report)
+        self._keep("globals", asdict(self.globals))
         self.state = state
+        reports.write(self.files.get("report", ""), self.last_report)
+        reports.write(self.files.get("summary", ""), self.summary())
+        for name, _, rows, own, _, digest in views:
+            if self.files.get(name, ""):
+                reports.write(self.files[name], reports.view(name, version, own, rows if own else None, digest))
+        if self.metrics:
+            self.metrics.window(end, ingest["spans"], ingest["dropped_spans"])
+            self.metrics.reconciliation(self.last_report)
 
     def report(self) -> dict:
-        """The operator's report of the last window; entity lists are bounded by what is remembered."""
-        if self.stepped is None:
-            return {"available": False}
-        counts = {r["kind"]: {k: r[k] for k in ("candidate", "active", "stale", "retired")} for r in reconcile.lifecycle_counts(self.state).collect()}
-        moves = [r.asDict() for r in reconcile.transitions(self.stepped).orderBy("kind", "id").limit(20).collect()]
-        return {"available": True, "version": self.globals.version, "stable_core_version": self.globals.stable_version, "guardrail_union_version": self.globals.guardrail_version, "health": asdict(self.health), "lifecycles": counts, "transitions": moves, "attention": [r.asDict() for r in reconcile.attention(self.stepped).select("kind", "id", "lifecycle", "miss_streak", "reason").collect()], "warnings": self.warnings}
+        """The report of the last window, also after a restart."""
+        return {"available": self.last_report is not None, **(self.last_report or {})}
 
     def summary(self) -> str:
         """The report as Markdown."""
-        r = self.report()
-        if not r["available"]:
-            return "# Reconciliation\n\nNo window has closed yet.\n"
-        lines = ["# Reconciliation", "", f"Window version {r['version']}; telemetry score {r['health']['score']}" + (", retirement frozen" if r["health"]["frozen"] else ""), "", "| kind | candidate | active | stale | retired |", "|---|---:|---:|---:|---:|"]
-        lines += [f"| {k} | " + " | ".join(str(v[c]) for c in ("candidate", "active", "stale", "retired")) + " |" for k, v in sorted(r["lifecycles"].items())]
-        lines += ["", "## Attention", *([f"- {a['kind']} `{a['id']}`: {a['lifecycle']}, {a['miss_streak']} misses, {a['reason']}" for a in r["attention"]] or ["- none"])]
-        lines += ["", "## Transitions", *([f"- {t['kind']} `{t['id']}`: {t['from']} to {t['to']}" for t in r["transitions"]] or ["- none"])]
-        return "\n".join(lines) + "\n"
+        return reports.summary(self.last_report)
 
 
 class SnapshotSink:
@@ -165,12 +186,14 @@ class SnapshotSink:
     Windows without a service are left out; records carry what earlier windows saw, and differences are against the last one.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, latest: str, ref: str = "", patches=None):
+    def __init__(self, spark: SparkSession, folder: str, latest: str, ref: str = "", patches=None, metrics: reports.Metrics | None = None):
+        self.metrics = metrics
         self.spark, self.folder, self.latest, self.ref, self.patches = spark, folder, latest, ref or session.source_ref(listen="landing"), patches
         self.previous: dict | None = None
 
     def __call__(self, start: int, end: int, spans: DataFrame, ingest: dict) -> None:
         text = lambda t: datetime.fromtimestamp(t, timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+        began = time.time()
         try:
             result = session.discover_spans(self.spark, spans, self.ref, text(end), self.patches, "otlp", seen=True)
         except ValueError as e:
@@ -183,16 +206,5 @@ class SnapshotSink:
         for path in (f"{self.folder}/{name}", self.latest):
             canon.write_atomic(path, canon.canonical(self.previous))
             canon.write_atomic(canon.sidecar_path(path), canon.canonical(result.quality))
-
-
-def metrics_text(ingest: dict, diffs: dict, lifecycles: dict, version: int) -> str:
-    """Counters and gauges of one window in the text exposition format."""
-    lines = [f"# TYPE spanweave_{k} gauge\nspanweave_{k} {v}" for k, v in sorted(ingest.items()) if k != "window_start"]
-    lines += [f'# TYPE spanweave_diff gauge\nspanweave_diff{{change="{k}"}} {v}' for k, v in sorted(diffs.items())]
-    lines += [f'spanweave_entities{{kind="{k}",lifecycle="{c}"}} {n}' for k, own in sorted(lifecycles.items()) for c, n in sorted(own.items())]
-    return "\n".join([*lines, f"spanweave_observation_version {version}"]) + "\n"
-
-
-def write_view(path: str, view: dict | None) -> None:
-    """A projection's file: the view, or that there is none yet."""
-    canon.write_atomic(path, canon.canonical({"available": view is not None, **({"view": view} if view is not None else {})}))
+        if self.metrics:
+            self.metrics.snapshot(self.previous, time.time() - began, end)

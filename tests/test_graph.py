@@ -188,3 +188,39 @@ def test_settings():
             config.serve_config(bad)
     with pytest.raises(TypeError):
         config.serve_config(nope=1)
+
+
+def test_json_payloads_and_rejects(spark):
+    import base64
+    import gzip
+    import json
+
+    from spanweave.sources import otlp
+
+    span = {"traceId": base64.b64encode(b"\xaa\xbb").decode(), "spanId": base64.b64encode(b"\x01").decode(), "name": "GET /checkout", "kind": "SPAN_KIND_SERVER", "startTimeUnixNano": "1700000000000000000", "endTimeUnixNano": "1700000000050000000", "traceState": "x", "attributes": [{"key": "http.route", "value": {"stringValue": "/checkout"}}, {"key": "n", "value": {"doubleValue": 1234567.5}}]}
+    body = json.dumps({"resourceSpans": [{"resource": {"attributes": [{"key": "service.name", "value": {"stringValue": "frontend"}}]}, "scopeSpans": [{"spans": [span]}]}]}).encode()
+    rows = [(gzip.compress(body), 1, "application/json"), (body, 2, "application/JSON; charset=utf-8"), (body[:40], 3, "application/json"), (b"\x0a\xff", 4, "application/x-protobuf"), (None, 5, None)]
+    df = spark.createDataFrame(rows, "content binary, seq long, content_type string")
+    got = otlp.read_payloads(df).collect()
+    assert [(r.trace_id, r.span_id, r.service, r.kind, r.end_ns - r.start_ns) for r in got] == [("aabb", "01", "frontend", "server", 50_000_000)] * 2
+    assert got[0].attributes["http.route"] == "/checkout" and got[0].attributes["n"] == "1234567.5"
+    assert sorted(r.seq for r in otlp.rejected_payloads(df).collect()) == [3, 4]
+    assert [otlp.number_text(x) for x in (1.0, 0.25, 1e21, 1.5e-7, float("inf"))] == ["1", "0.25", "1e+21", "1.5e-07", "+Inf"]
+
+
+def test_unreadable_trace_files_fail_the_load(spark, tmp_path):
+    import json
+
+    from spanweave import session
+
+    (tmp_path / "a.json").write_text(json.dumps({"spans": [{"trace_id": "t", "span_id": "s", "service": "web", "name": "x"}]}))
+    assert session.load_spans(spark, str(tmp_path)).count() == 1
+    (tmp_path / "b.JSON").write_text(json.dumps({"other": 1}))
+    with pytest.raises(ValueError, match="b.JSON"):
+        session.load_spans(spark, str(tmp_path))
+    (tmp_path / "b.JSON").write_text(json.dumps({"spans": []}))
+    (tmp_path / "a.json").unlink()
+    with pytest.raises(ValueError, match="no spans"):
+        session.load_spans(spark, str(tmp_path))
+    with pytest.raises(ValueError, match="as traces: .*as topology: "):
+        session.discover(spark, str(tmp_path / "b.JSON"))

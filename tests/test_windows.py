@@ -1,3 +1,4 @@
+import json
 import uuid
 
 import pytest
@@ -5,7 +6,7 @@ from pyspark.sql import functions as F
 
 from spanweave.operators import reconcile, snapshot, windows
 from spanweave.operators.reconcile import Config, Globals, telemetry_health
-from spanweave.streaming import live
+from spanweave.streaming import live, reports
 
 SEEN = "kind string, id string, source string, target string, observations bigint, strength double"
 
@@ -86,7 +87,7 @@ def test_health_and_config():
     ema, h = telemetry_health(0.0, 100, 0, 0, Config())
     assert (ema, h.score, h.frozen) == (100.0, 1.0, False)
     ema, h = telemetry_health(100.0, 0, 50, 0, Config())
-    assert ema == 70.0 and h.frozen and len(h.reasons) == 2
+    assert ema == 70.0 and h.frozen and h.reasons == (reconcile.HEALTH["dropped"], reconcile.HEALTH["volume"], reconcile.HEALTH["frozen"])
     assert telemetry_health(0.0, 0, 0, 0, Config())[1].volume_ratio == 1.0
     assert reconcile.half_life_alpha(600, 30) == pytest.approx(0.0341, abs=1e-4) and reconcile.windows_of(10, 30) == 1
     with pytest.raises(ValueError):
@@ -127,7 +128,8 @@ def test_live_is_replay_and_restarts(spark, tmp_path):
     df = spark.createDataFrame(rows, live.ARRIVALS)
     seen = {}
     mark = uuid.uuid4().hex
-    sink = live.Reconciling(spark, name=f"state-{mark}")
+    files, metrics = reports.output_paths(latest=str(tmp_path / "out" / "latest.json")), reports.Metrics(clock=lambda: 50.0)
+    sink = live.Reconciling(spark, name=f"state-{mark}", files=files, metrics=metrics)
     name = f"live-{mark}"
     def both(start, end, spans, counts):
         seen[start] = counts["spans"]
@@ -146,12 +148,16 @@ def test_live_is_replay_and_restarts(spark, tmp_path):
     again = live.Reconciling(spark, name=f"state-{mark}")
     assert again.globals.version == 4 and {r.id for r in again.state.collect()} >= {"web", "db"}
     assert (sink.globals.stable_version, sink.stable_changed) == (2, False)
-    assert "Window version 4" in sink.summary() and sink.report()["lifecycles"]["service"]["active"] == 2
-    assert 'spanweave_entities{kind="service",lifecycle="active"} 2' in live.metrics_text({"spans": 10}, {"added": 1}, sink.report()["lifecycles"], 4)
+    assert again.report() == sink.report() and "Observation version: `4`" in again.summary() and "| `service` | 0 | 2 | 0 | 0 |" in again.summary()
+    assert json.loads(open(files["report"]).read())["versions"] == {"observation_version": 4, "stable_core_version": 2, "guardrail_union_version": 1}
+    assert open(files["summary"]).read() == sink.summary()
+    core = json.loads(open(files["stable_core"]).read())
+    assert core["available"] and {x["id"] for x in core["snapshot"]["model"]["services"]} == {"web", "db"} and core["structural_version"] == 2
+    text = metrics.text()
+    assert 'reconciliation_entities{kind="service",state="active"} 2' in text and "spans_ingested_total 40" in text and "window_lag_seconds 10.0" in text
 
 
 def test_snapshot_files(spark, tmp_path):
-    import json
 
     schema = live.ARRIVALS
     row = lambda t, s, p, service, at: (t, s, p, service, "GET /x", "server", at * 10**9, at * 10**9 + 5, {}, at, at, at, "otlp", "http")
@@ -164,3 +170,39 @@ def test_snapshot_files(spark, tmp_path):
     last = json.loads((tmp_path / "latest.json").read_text())
     assert last["diff"]["removed_services"] == 1 and last["discovery"]["services"][0]["first_seen"] == "1970-01-01T00:00:01Z" and last["discovery"]["services"][0]["last_seen"] == "1970-01-01T00:00:11Z"
     assert len(list((tmp_path / "all").glob("*-snap-*.json"))) == 4
+
+
+def test_windows_between_and_late_landings(spark):
+    row = lambda seq, at, event: (f"t{seq}", f"s{seq}", "", "web", "GET /x", "server", event * 10**9, event * 10**9, {}, seq, at, event, "otlp", "http")
+    batch = lambda *rows: spark.createDataFrame(list(rows), live.ARRIVALS)
+    got = []
+    one = live.Live(spark, lambda start, end, spans, counts: got.append((start, counts["spans"], counts["dropped_spans"], counts["late_spans"])), size=10, name=f"live-{uuid.uuid4().hex}", dense=True)
+    one.add(batch(row(1, 1, 1), row(2, 35, 35)), 0)
+    assert got == [(0, 1, 0, 0), (10, 0, 0, 0), (20, 0, 0, 0)]
+    one.add(batch(row(3, 5, 5)), 1)  # lands when its window is closed
+    one.add(batch(row(3, 5, 5)), 1)  # and is run again
+    one.close()
+    assert got[3:] == [(30, 1, 1, 1)]
+
+
+def test_output_paths():
+    assert reports.output_paths(latest="a/b/latest.json")["report"] == "a/b/reconciliation-report.json"
+    assert reports.output_paths(folder="x/snapshots/")["summary"] == "x/reconciliation-summary.md" and reports.output_paths(folder="x/y")["summary"] == "x/y/reconciliation-summary.md"
+    assert reports.output_paths(summary="s.md")["summary"] == "s.md" and reports.output_paths()["stable_core"] == "out/latest-stable-core.json"
+
+
+def test_summary_and_metrics():
+    report = {
+        "window_start": "a", "window_end": "b", "versions": {"observation_version": 2, "stable_core_version": 1, "guardrail_union_version": 1}, "telemetry_health": {"score": 1, "drop_ratio": 0, "late_ratio": 0, "volume_ratio": 1, "retirement_frozen": False},
+        "projections": [], "compaction": {"performed": True, "expired_retired": 1, "trimmed_per_kind": 2, "trimmed_overall": 0}, "transitions": [{"kind": "edge", "id": "x|y", "from": "active", "to": "stale", "reason": "a|b"}],
+        "entities": [{"kind": "edge", "id": i, "lifecycle": state, "miss_streak": n, "existence_confidence": 0.5, "activity_confidence": 0, "qualified_miss": n > 0, "reason": "r"} for i, state, n in (("a", "active", 9), ("b", "candidate", 1), ("c", "stale", 2), ("d", "retired", 1), ("e", "active", 0))],
+    }
+    assert [e["id"] for e in reports.attention(report)] == ["d", "c", "b", "a"]
+    text = reports.summary(report)
+    assert "- Performed: `true`" in text and "a\\|b" in text and "No window" in reports.summary(None)
+    metrics = reports.Metrics(clock=lambda: 100.0)
+    metrics.reconciliation(report)
+    metrics.snapshot({"counts": {"services": 3, "edges": 1, "endpoints": 0}, "diff": {"added_services": 2}}, 0.2, 90.0)
+    text = metrics.text()
+    assert "reconciliation_evictions_total 3" in text and "reconciliation_qualified_misses_total 4" in text and 'snapshot_build_duration_seconds_bucket{le="0.25"} 1' in text and "snapshot_age_seconds 10.0" in text and "current_services 3" in text
+    assert text.count("# TYPE") == 25
