@@ -51,3 +51,18 @@ def test_stages_keep_columns_and_edges(spark):
         assert corpus_pipeline.STAGES[-1][1](spark, rows, "").count() == rows.count()
     kept = corpus_pipeline.STAGES[0][1](spark, docs, "").collect()
     assert sorted(r.text for r in kept) == ["das ende", "the cat", "the cat"]
+
+
+def test_stages_take_long_texts_and_clashing_columns(spark):
+    long = "many words and more of them " * 20_000
+    names = ["rid", "k1", "_row", "_id", "text_sha256", "component", "copies", "_source"]
+    rows = [(1, long, "en", "s", 1), (2, long.upper(), "en", "s", 2), (3, "another text of few words", "en", None, 3), (None, None, None, None, None)]
+    docs = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` int" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns[5:] == names, name
+        kept = docs.collect()
+        if name in ("exact_dedup", "ngram_jaccard"):
+            assert sorted(r.doc_id for r in kept) == [2, 3]
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+    assert all(r.round_trip for r in out) and {r.doc_id for r in out} <= {2, 3}
