@@ -87,6 +87,21 @@ def totals(spans: DataFrame, linked: DataFrame, by: tuple[str, ...] = ()) -> Dat
     return counted.join(pairs, list(by), "left") if by else counted.crossJoin(pairs)  # one row each
 
 
+def entity_counts(linked: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(n_services, n_edges, n_endpoints, n_linked, n_traces): distinct ids alone, in one pass and without any statistics."""
+    own, parent = F.col("own"), F.col("parent.own")
+    crosses = F.coalesce(F.col("parent.service") != F.col("service"), F.lit(False))
+    kind = edge_kind(parent, own)
+    edge = F.when(crosses, edge_id(F.col("parent.service"), F.col("service"), kind, kind == "sync", edge_identity(parent, own)))
+    method, path = endpoint_method(own), endpoint_path(own)
+    rows = linked.select(*by, "service", F.nullif("trace_id", F.lit("")).alias("trace"), crosses.alias("crosses"), edge.alias("edge"), method.alias("method"), path.alias("path"), ((own["kind"] == "server") | ~F.coalesce(F.col("parent.service") == F.col("service"), F.lit(False))).alias("enters"))
+    endpoint = F.when((F.col("method") != "") & (F.col("path") != "") & F.col("enters"), endpoint_id(F.col("service"), F.col("method"), F.col("path")))
+    rows = rows.select(*by, "service", "trace", "crosses", "edge", endpoint.alias("endpoint"))
+    return rows.groupBy(*by).agg(
+        F.count_distinct("service").alias("n_services"), F.count_distinct("edge").alias("n_edges"), F.count_distinct("endpoint").alias("n_endpoints"), F.count_if("crosses").alias("n_linked"), F.count_distinct("trace").alias("n_traces")
+    )
+
+
 def confidence(n_spans: Column, n_services: Column, n_edges: Column, n_endpoints: Column, n_linked: Column) -> Column:
     """0.35, and 0.2 for several services, 0.15 for any edge, 0.15 for any endpoint, up to 0.15 by the share of linked spans."""
     share = F.when((n_spans > 0) & (n_linked > 0), F.least(F.lit(0.15), n_linked.cast("double") / n_spans.cast("double") * 0.15)).otherwise(0.0)

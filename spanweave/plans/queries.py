@@ -107,11 +107,8 @@ SELECT *, floor(least(1.0::DOUBLE, 0.35::DOUBLE + CASE WHEN n_services > 1 THEN
 
 @register(_with(views.V_SPANS, _LINK) + _CONFIDENCE)
 def discovery_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = views.spans(spark, sf_dir)
-    prepared, linked = _linked(spark, sf_dir)
-    total = discover.totals(spans, linked).select(F.col("spans").alias("n_spans"), F.col("linked").alias("n_linked"), F.col("traces").alias("n_traces"))
-    n = discover.services(prepared).agg(F.count("*").alias("n_services")).crossJoin(discover.edges(linked).agg(F.count("*").alias("n_edges"))).crossJoin(discover.endpoints(linked).agg(F.count("*").alias("n_endpoints")))  # one row each
-    one = total.crossJoin(n)
+    linked = _linked(spark, sf_dir)[1]
+    one = discover.entity_counts(linked).crossJoin(views.spans(spark, sf_dir).agg(F.count("*").alias("n_spans")))  # one row each
     return one.select("n_spans", "n_services", "n_edges", "n_endpoints", "n_linked", "n_traces", discover.confidence(F.col("n_spans"), F.col("n_services"), F.col("n_edges"), F.col("n_endpoints"), F.col("n_linked")).alias("confidence"))
 
 
