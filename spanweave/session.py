@@ -18,11 +18,22 @@ from .sources import documents
 from .sources.documents import Graph
 from .sources.spans_json import parse_spans, read_files, unreadable_files
 
-#: Contracts of the artifacts by name@version; digests are those of the schema documents that a deployment pins, if any.
-CONTRACTS: dict[str, dict[str, str]] = {
-    "spanweave.model@1.3.0": {"name": "spanweave.model", "version": "1.3.0", "uri": "urn:spanweave:schema:model:v1.3.0", "digest": ""},
-    "spanweave.snapshot@1.3.0": {"name": "spanweave.snapshot", "version": "1.3.0", "uri": "urn:spanweave:schema:snapshot:v1.3.0", "digest": ""},
-}
+def _contract(name: str, version: str, sections: dict[str, str]) -> dict[str, str]:
+    """A published contract: its digest is that of its name, version and the fields of each section, so it changes with them."""
+    return {"name": name, "version": version, "uri": f"urn:spanweave:schema:{name.split('.')[1]}:v{version}", "digest": "sha256:" + canon.digest({"name": name, "version": version, "sections": sections})}
+
+
+_SECTIONS = {"services": SERVICES, "edges": EDGES, "endpoints": ENDPOINTS}
+_ENVELOPE = {"ingest": "spans bigint, traces bigint, dropped_spans bigint, late_spans bigint", "counts": "services bigint, edges bigint, endpoints bigint"}
+#: Contracts of the artifacts by name@version.
+CONTRACTS: dict[str, dict[str, str]] = {f"{c['name']}@{c['version']}": c for c in (_contract("spanweave.model", "1.3.0", _SECTIONS), _contract("spanweave.snapshot", "1.3.0", _SECTIONS | _ENVELOPE))}
+
+
+def lookup_contract(name: str, version: str) -> dict[str, str]:
+    """The published contract; KeyError for any other name or version."""
+    return CONTRACTS[f"{name}@{version}"]
+
+
 SOURCE_TYPE = "spanweave"
 
 

@@ -224,3 +224,13 @@ def test_unreadable_trace_files_fail_the_load(spark, tmp_path):
         session.load_spans(spark, str(tmp_path))
     with pytest.raises(ValueError, match="as traces: .*as topology: "):
         session.discover(spark, str(tmp_path / "b.JSON"))
+
+
+def test_contracts_are_pinned():
+    from spanweave import session
+
+    model = session.lookup_contract("spanweave.model", "1.3.0")
+    assert model["digest"].startswith("sha256:") and model["uri"] == "urn:spanweave:schema:model:v1.3.0"
+    assert session._contract("spanweave.model", "1.3.0", session._SECTIONS | {"edges": session.EDGES + ", more int"})["digest"] != model["digest"]
+    with pytest.raises(KeyError):
+        session.lookup_contract("spanweave.model", "1.2.0")
