@@ -138,13 +138,16 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*own[at : at + 500]), (pa.int64(), pa.string(), pa.binary()))], names=["k", "lang", "x"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = sorted((k, v, x) for batch in batches for k, v, x in zip(*(c.to_pylist() for c in batch.columns)))
-        got.sort(key=lambda r: r[1])
-        if got:
-            x = np.empty((len(got), DIM), np.float32)
-            for i, row in enumerate(got):
-                x[i] = np.frombuffer(row[2], np.float16)
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(LanguageModel.fit(x, [r[1] for r in got]))], pa.binary())], names=["model"])
+        keys, langs, parts = [], [], []
+        for batch in batches:
+            keys += batch.column(0).to_pylist()
+            langs += batch.column(1).to_pylist()
+            parts.append(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float16).reshape(-1, DIM))
+        if keys:
+            order = sorted(range(len(keys)), key=lambda i: (langs[i], keys[i]))
+            x = np.concatenate(parts)[order].astype(np.float32)
+            parts.clear()
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(LanguageModel.fit(x, [langs[i] for i in order]))], pa.binary())], names=["model"])
 
     sample = picked.mapInArrow(frugal(describe), "k long, lang string, x binary")
     fitted = sample.orderBy("k", "lang").limit(rows).mapInArrow(frugal(fit), "model binary").first()  # the limit leaves one partition
