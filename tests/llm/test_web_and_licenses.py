@@ -90,3 +90,10 @@ def test_licenses_and_inheritance(spark):
     assert got[4][0] == "GPL-3.0" and got[5] == (None, None, None) and got[6] == ("MIT", "MIT", None) and got[7] == (None, None, None) and got[8] == (None, None, None)
     assert got[9] == (None, "GPL-3.0", "a/b/COPYING") and got[None] == (None, "MIT", "a/LICENSE")
     assert licenses.scan_licenses(df.limit(0)).count() == 0
+
+
+def test_whole_licences(spark):
+    texts = {name: f"Copyright (c) 2020 Somebody Else\n\n{text}" for name, text in licenses.WHOLE}
+    rows = [(i, f"p{i}/LICENSE", text) for i, text in enumerate(texts.values())] + [(100, "q/LICENSE", "MIT License\n\n" + licenses.TEMPLATES[1][1]), (101, "r/x.c", "int x;"), (102, "p0/x.c", "int x;")]
+    got = {r.doc_id: r.license for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts) and got[100] == "BSD-3-Clause" and got[101] is None and got[102] == "BSD-2-Clause"

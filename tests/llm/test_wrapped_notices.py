@@ -9,7 +9,7 @@ BSD = """ * Redistribution and use in source and binary forms, with or without
 
 
 def test_wrapped_notices_and_whole_mit(spark):
-    rows = [(1, "a/x.py", "import os\n\n" + GPL + "\nprint(1)"), (2, "b/y.c", "/*\n" + BSD + "\n */"), (3, "c/LICENSE", "MIT License\n\nCopyright (c) 2020 A\n\n" + licenses.WHOLE[0][1][12:]), (4, "c/d/z", "prose"), (5, "e/v", "of this license\nand of that software\nwords")]
+    rows = [(1, "a/x.py", "import os\n\n" + GPL + "\nprint(1)"), (2, "b/y.c", "/*\n" + BSD + "\n */"), (3, "c/LICENSE", "MIT License\n\nCopyright (c) 2020 A\n\n" + dict(licenses.WHOLE)["MIT"][12:]), (4, "c/d/z", "prose"), (5, "e/v", "of this license\nand of that software\nwords")]
     rows += [(k, f"p{k}/t", f"plain text number {k}\nof many words") for k in range(10, 40)]
     got = {r.doc_id: (r.own_license, r.license) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
     assert got[1] == ("GPL-3.0", "GPL-3.0") and got[2] == ("BSD-3-Clause", "BSD-3-Clause") and got[3] == ("MIT", "MIT") and got[4] == (None, "MIT")
