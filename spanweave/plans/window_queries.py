@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..operators import reconcile, snapshot, windows
+from ..operators import discover, reconcile, snapshot, windows
 from . import views
-from .queries import register
+from .queries import _LINK, register
 
 DAY, CAP = 86_400, 250  # the cap is for the queries of ingest, whose feature it is; all others keep every arrival in time
 
@@ -224,6 +224,58 @@ def attention_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.attention(_folded(spark, sf_dir)[1]).select("kind", "id", "lifecycle", "miss_streak", "reason")
 
 
+_HEALTH = f""", c AS (SELECT window_start, row_number() OVER (ORDER BY window_start) AS n, count(*) FILTER (WHERE kept) AS spans, count(*) FILTER (WHERE NOT kept) AS dropped, count(*) FILTER (WHERE late) AS late FROM w GROUP BY window_start),
+e AS (SELECT n, spans::DOUBLE AS ema FROM c WHERE n = 1 UNION ALL SELECT c.n, CASE WHEN e.ema = 0 THEN c.spans::DOUBLE ELSE e.ema * 0.7::DOUBLE + c.spans * 0.3::DOUBLE END FROM e JOIN c ON c.n = e.n + 1),
+h AS (SELECT *, dropped / greatest(1, spans + dropped)::DOUBLE AS d, late / greatest(1, spans + dropped)::DOUBLE AS l, CASE WHEN ema > 0 THEN spans / ema ELSE 1.0::DOUBLE END AS r FROM c JOIN e ON c.n = e.n),
+g AS (SELECT *, 1.0::DOUBLE - 0.55::DOUBLE * d - 0.25::DOUBLE * l - CASE WHEN ema >= 4 AND r < 0.35::DOUBLE THEN 0.25::DOUBLE * (0.35::DOUBLE - r) / 0.35::DOUBLE ELSE 0.0::DOUBLE END AS raw FROM h)
+SELECT window_start, ema, {_clamp("d")} AS drop_ratio, {_clamp("l")} AS late_ratio, {_clamp("r")} AS volume_ratio, {_clamp("raw")} AS score, {_clamp("raw")} < 0.55::DOUBLE AS frozen FROM g"""
+
+
+@register(_sql(_HEALTH, cap=CAP))
+def telemetry_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = windows.ingest_counts(_assigned(spark, sf_dir, cap=CAP)).orderBy("window_start").collect()  # one row per window, folded in order
+    ema, out = 0.0, []
+    for r in counts:
+        ema, h = reconcile.telemetry_health(ema, r["spans"], r["dropped_spans"], r["late_spans"], reconcile.Config())
+        out.append((r["window_start"], ema, h.drop_ratio, h.late_ratio, h.volume_ratio, h.score, h.frozen))
+    return spark.createDataFrame(out, "window_start long, ema double, drop_ratio double, late_ratio double, volume_ratio double, score double, frozen boolean")
+
+
+def _opportunity_sql() -> str:
+    """Over the seen of the fold's query: all entities ever seen are known, the last window is what could have shown them."""
+    head = _fold_sql()
+    return head[: head.index(",\nf AS (")] + """,
+known AS (SELECT kind, id, any_value(source) AS source, any_value(target) AS target FROM seen WHERE kind <> 'endpoint' GROUP BY kind, id UNION ALL SELECT kind, id, min(source), NULL FROM seen WHERE kind = 'endpoint' GROUP BY kind, id),
+now AS (SELECT * FROM seen WHERE v = (SELECT max(v) FROM seen)), sup AS (SELECT id, obs FROM now WHERE kind = 'service'),
+direct AS (SELECT id, obs FROM sup UNION ALL SELECT source, obs FROM now WHERE kind <> 'service' UNION ALL SELECT target, obs FROM now WHERE kind = 'edge'
+  UNION ALL SELECT k.source, sup.obs FROM known k JOIN sup ON k.source = sup.id WHERE k.kind = 'edge' UNION ALL SELECT k.target, sup.obs FROM known k JOIN sup ON k.source = sup.id WHERE k.kind = 'edge')
+SELECT 'service' AS kind, id, CAST(sum(obs) AS BIGINT) AS opportunity FROM direct GROUP BY id
+UNION ALL SELECT k.kind, k.id, coalesce(CASE WHEN k.kind = 'endpoint' THEN n.obs END, sup.obs, 0) FROM known k LEFT JOIN sup ON sup.id = k.source LEFT JOIN now n ON n.kind = k.kind AND n.id = k.id WHERE k.kind <> 'service'"""
+
+
+@register(_opportunity_sql())
+def opportunity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps, rows = _world(spark, sf_dir)
+    known = rows.groupBy("kind", "id").agg(F.min("source").alias("source"), F.min("target").alias("target"))
+    last = rows.agg(F.max("window_start")).first()[0]
+    return reconcile.opportunities(known, rows.where(F.col("window_start") == last)).select("kind", "id", F.col("opportunity").cast("bigint").alias("opportunity"))
+
+
+MONTH = 30 * DAY
+_WINDOW_LINK = _LINK.replace("PARTITION BY trace_id, span_id", "PARTITION BY w, trace_id, span_id").replace("SELECT c.trace_id, c.service", "SELECT c.w, c.trace_id, c.service").replace("ON c.trace_id = p.trace_id", "ON c.w = p.w AND c.trace_id = p.trace_id")
+_SHIFT = windows.seconds_between_epochs() % MONTH
+
+
+@register(f"WITH RECURSIVE v0 AS ({views.duck_sql(views.V_SPANS)}), v AS (SELECT *, CAST(floor((start_ns // 1000000000 + {_SHIFT}) / {MONTH}.0) AS BIGINT) * {MONTH} - {_SHIFT} AS w FROM v0),{_WINDOW_LINK}"
+          + ' SELECT w AS window_start, id, any_value(ps) AS "from", any_value(service) AS "to", count(*) AS observations, count(DISTINCT nullif(trace_id, \'\')) AS trace_count, quantile_disc(ms, 0.5) AS p50, quantile_disc(ms, 0.99) AS p99 FROM x GROUP BY w, id')
+def window_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph of each window of thirty days: parents are looked up within the window."""
+    spans = views.spans(spark, sf_dir).withColumn("window_start", windows.window_start(F.floor(F.col("start_ns") / 1_000_000_000), MONTH))
+    by = ("window_start",)
+    edges = discover.edges(discover.link_parents(discover.prepare(spans, by), by), by)
+    return edges.select("window_start", "id", "from", "to", "observations", "trace_count", "p50", "p99")
+
+
 @register(f"""WITH s AS (SELECT CASE WHEN mod(c_custkey, 3) = 0 THEN 'service' WHEN mod(c_custkey, 3) = 1 THEN 'edge' ELSE 'endpoint' END AS kind, 'e' || c_custkey AS id, CASE WHEN mod(c_custkey, 4) = 0 THEN 'active' ELSE 'retired' END AS lifecycle, 1000000 - mod(c_custkey * 37, 997) * 100 AS retired_at FROM customer),
 r AS (SELECT * FROM s WHERE lifecycle = 'retired' AND 1000000 - retired_at <= 86400),
 k AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY retired_at DESC, id DESC) AS n FROM r), o AS (SELECT *, row_number() OVER (ORDER BY retired_at DESC, id DESC, kind) AS m FROM k WHERE n <= 200)
