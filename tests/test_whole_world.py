@@ -25,5 +25,5 @@ def test_every_kept_arrival_reaches_the_fold(spark):
         before[w, e.user_id] = e.event_type
         want[w, "service", e.event_type] += 1
         want[w, "endpoint", f"u{e.user_id}"] += 1
-    assert kept == sum(ingest[0] for _, _, ingest in steps) and all(end - start == 5 * DAY for start, end, _ in steps)
+    assert kept == sum(ingest[0] for _, _, ingest in steps) and all(end - start == DAY for start, end, _ in steps)
     assert {(r.window_start, r.kind, r.id): r.observations for r in rows.collect()} == want
