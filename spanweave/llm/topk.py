@@ -198,12 +198,12 @@ def _points(frame: pd.DataFrame) -> np.ndarray:
     return np.stack(frame["vector"].to_numpy()).astype(np.int64)
 
 
-def _summary(key, rows: pd.DataFrame) -> pd.DataFrame:
+def _summary(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     centre, radius = ball(_points(rows).astype(np.float64))
     return pd.DataFrame({"dim": [key[0]], "region": [key[1]], "sub": [key[2]], "centre": [centre], "radius": [radius]})
 
 
-def _reachable(key, balls: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+def _reachable(key: tuple, balls: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
     """Shards that a query cannot leave out, with their bounds."""
     if not len(balls) or not len(asked):
         return pd.DataFrame({"qid": np.zeros(0, np.int64), "dim": np.zeros(0, np.int32), "region": np.zeros(0, np.int32), "sub": np.zeros(0, np.int32), "bound": np.zeros(0)})
@@ -216,7 +216,7 @@ def _reachable(key, balls: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
 
 
 def _cells(k: int):
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("qid", "vec_id", "rid", "score")})
         left = left.sort_values(["vec_id", "rid"])
