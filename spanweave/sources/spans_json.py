@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import first_filled, first_nonblank, last_wins, let, map_over, strip
 
@@ -11,6 +11,9 @@ PLAIN = f"struct<spans: {_ROW}>"
 _SCOPES = f"array<struct<spans: {_ROW}>>"
 OTLP = f"struct<resourceSpans: array<struct<resource: struct<attributes: string>, scopeSpans: {_SCOPES}, instrumentationLibrarySpans: {_SCOPES}>>>"
 
+#: Ranges of file names, and the bits of seq for a file within its range and for a span within its file: 6 + 27 + 30 are 63.
+PARTS, ROW_BITS, AT_BITS = 64, 27, 30
+
 # Attributes that a plain span may give at its top level, and the names they may have there.
 SHORTCUTS = (
     ("http.request.method", ("http.request.method", "http.method", "method")),
@@ -77,27 +80,54 @@ def parse_plain(files: DataFrame) -> DataFrame:
     )
 
 
+def _otlp_items(resources: Column) -> Column:
+    """All spans of a document in their order, as (shared, span); shared: the attributes of the span's resource."""
+    filled = lambda arrays: F.flatten(F.filter(arrays, lambda x: x.isNotNull()))  # noqa: E731  flatten() is null if any array is
+
+    def of_resource(r: Column) -> Column:
+        scopes = F.coalesce(r["scopeSpans"], r["instrumentationLibrarySpans"])
+        return let(otlp_attributes(r["resource"]["attributes"]), lambda shared: filled(F.transform(scopes, lambda c: F.transform(c["spans"], lambda s: F.struct(shared.alias("shared"), s.alias("span"))))))
+
+    return filled(F.transform(resources, of_resource))
+
+
 def parse_otlp(files: DataFrame) -> DataFrame:
     """(file, at, ...span) of OTLP JSON documents; a span's attributes override its resource's, the service name too."""
-    rows = files.where("plain.spans is null and otlp.resourceSpans is not null").select("file", F.posexplode("otlp.resourceSpans").alias("r", "resource"))
-    rows = rows.select("file", "r", otlp_attributes(F.col("resource.resource.attributes")).alias("shared"), F.posexplode(F.coalesce("resource.scopeSpans", "resource.instrumentationLibrarySpans")).alias("c", "scope"))
-    rows = rows.select("file", "r", "c", "shared", F.posexplode("scope.spans").alias("p", "span")).where("span is not null")
+    rows = files.where("plain.spans is null and otlp.resourceSpans is not null").select("file", F.posexplode(_otlp_items(F.col("otlp.resourceSpans"))).alias("at", "item"))
+    rows = rows.select("file", F.col("at").cast("bigint").alias("at"), "item.shared", "item.span").where("span is not null")
     s = F.col("span")
     rows = rows.withColumn("attributes", map_over(F.col("shared"), otlp_attributes(s["attributes"])))
     got = lambda *names: first_nonblank(*[s[n] for n in names])
     return rows.select(
-        "file", (F.col("r").cast("bigint") * 10**12 + F.col("c") * 10**8 + F.col("p")).alias("at"), got("traceId", "trace_id").alias("trace_id"), got("spanId", "span_id").alias("span_id"), got("parentSpanId", "parent_span_id").alias("parent_span_id"),
+        "file", "at", got("traceId", "trace_id").alias("trace_id"), got("spanId", "span_id").alias("span_id"), got("parentSpanId", "parent_span_id").alias("parent_span_id"),
         first_filled(strip(F.col("attributes")["service.name"]), got("service")).alias("service"), got("name").alias("name"), span_kind(s["kind"]).alias("kind"),
         time_ns(s["startTimeUnixNano"], s["start_time_unix_nano"]).alias("start_ns"), time_ns(s["endTimeUnixNano"], s["end_time_unix_nano"]).alias("end_ns"), "attributes",
     )
 
 
+def file_numbers(files: DataFrame) -> DataFrame:
+    """(file, file_no): distinct names with numbers that rise in their order, with gaps, below 2**33.
+
+    The names are dealt to PARTS ranges and sorted there, so no task and no driver sees all of them. monotonically_increasing_id()
+    has the range above bit 33 and the row below it; the row may take ROW_BITS bits.
+    """
+    names = files.select("file").distinct().repartitionByRange(PARTS, "file").sortWithinPartitions("file")
+    names = names.select("file", F.monotonically_increasing_id().alias("id"))
+    part, row = F.shiftright("id", 33), F.col("id").bitwiseAND((1 << 33) - 1)
+    number = F.when(row < 1 << ROW_BITS, F.shiftleft(part, ROW_BITS) + row).otherwise(F.raise_error(F.lit(f"more than 2**{ROW_BITS} files in a range")).cast("bigint"))
+    return names.select("file", number.alias("file_no")).groupBy("file").agg(F.min("file_no").alias("file_no"))
+
+
 def parse_spans(files: DataFrame) -> DataFrame:
-    """Spans of (file, value) rows of whole JSON documents of either dialect, in file order as seq; other documents give none."""
+    """Spans of (file, value) rows of whole JSON documents of either dialect, in file order as seq; other documents give none.
+
+    seq is the file's number, then the span's place in its document. A place takes AT_BITS bits: a document has at most 2**31
+    bytes, and a span at least three. The numbers are joined by file, by whatever join their size allows, and not at all where
+    seq is not read.
+    """
     parsed = files.select("file", F.from_json("value", PLAIN).alias("plain"), F.from_json("value", OTLP).alias("otlp"))
-    rows = parse_plain(parsed).unionByName(parse_otlp(parsed))
-    order = rows.select("file").distinct().withColumn("file_no", F.row_number().over(Window.orderBy("file")))  # one row per file
-    return rows.join(F.broadcast(order), "file").select("trace_id", "span_id", "parent_span_id", "service", "name", "kind", "start_ns", "end_ns", "attributes", (F.col("file_no").cast("bigint") * 10**15 + F.col("at")).alias("seq"))
+    rows = parse_plain(parsed).unionByName(parse_otlp(parsed)).join(file_numbers(files), "file", "left")
+    return rows.select("trace_id", "span_id", "parent_span_id", "service", "name", "kind", "start_ns", "end_ns", "attributes", (F.shiftleft("file_no", AT_BITS) + F.col("at")).alias("seq"))
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:

@@ -53,6 +53,20 @@ def test_both_dialects(spark):
     assert [r.file for r in spans_json.unreadable_files(files(spark, PLAIN, {"other": 1})).collect()] == ["f1"]
 
 
+def test_files_are_not_numbered_in_one_place(spark):
+    """No broadcast that size does not allow, no task that sees all names; where seq is not read, no join at all."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        spans = spans_json.parse_spans(files(spark, PLAIN, OTLP))
+        plan = spans._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "SinglePartition" not in plan and "SortMergeJoin" in plan
+        assert "Join" not in spans.drop("seq")._jdf.queryExecution().executedPlan().toString()
+        assert len(spans.collect()) == 9
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_discovery(spark):
     result = session.discover_spans(spark, spans_json.parse_spans(files(spark, PLAIN)), "ref", "2024-01-01T00:00:00Z")
     m = json.loads(canon.canonical(result.model))
