@@ -53,6 +53,16 @@ def test_both_dialects(spark):
     assert [r.file for r in spans_json.unreadable_files(files(spark, PLAIN, {"other": 1})).collect()] == ["f1"]
 
 
+def test_order_of_many_files(spark):
+    """More files than 64 bits have room for at 10**15 a file, of both dialects; a file of the other dialect comes between."""
+    value = F.when(F.col("id") % 2 == 0, '{"spans": [{"name": "a"}, null, {"name": "b"}]}').otherwise('{"resourceSpans": [null, {"scopeSpans": [{"spans": [{"name": "a"}]}, {"spans": null}]}, {"resource": {}}, {"scopeSpans": [{"spans": [{"name": "b"}]}]}]}')
+    docs = spark.range(10_000).select(F.format_string("f%05d", "id").alias("file"), F.concat(F.format_string('{"n": %d, ', "id"), F.substring(value, 2, 1000)).alias("value"))
+    docs = docs.select("file", F.regexp_replace("value", '"name"', F.concat(F.lit('"service": "'), "file", F.lit('", "name"'))).alias("value"))
+    got = spans_json.parse_spans(docs).select("service", "name", "seq").collect()
+    assert len({r.seq for r in got}) == len(got) == 20_000 and min(r.seq for r in got) >= 0
+    assert [(r.service, r.name) for r in sorted(got, key=lambda r: r.seq)] == [(f"f{i:05d}", n) for i in range(10_000) for n in "ab"]
+
+
 def test_files_are_not_numbered_in_one_place(spark):
     """No broadcast that size does not allow, no task that sees all names; where seq is not read, no join at all."""
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
