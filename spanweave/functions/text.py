@@ -99,8 +99,7 @@ def last_wins(entries: Column) -> Column:
 def map_over(base: Column, over: Column) -> Column:
     """base with over's entries on top."""
     none = F.create_map().cast("map<string,string>")
-    base, over = F.coalesce(base, none), F.coalesce(over, none)
-    return F.map_concat(F.map_filter(base, lambda k, v: ~F.array_contains(F.map_keys(over), k)), over)
+    return let(F.coalesce(over, none), lambda o: F.map_concat(F.map_filter(F.coalesce(base, none), lambda k, v: ~F.map_contains_key(o, k)), o))
 
 
 def map_text(m: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.text import first_filled, first_nonblank, last_wins, let, map_over, strip
+from ..functions.text import first_nonblank, last_wins, let, map_over, strip
 
 _ROW = "array<map<string,string>>"  # nested values come as their JSON text
 PLAIN = f"struct<spans: {_ROW}>"
@@ -66,20 +66,6 @@ def otlp_attributes(c: Column) -> Column:
     return let(c, lambda x: F.when(x.startswith("["), pairs(x)).when(x.startswith("{"), F.from_json(x, "map<string,string>")))
 
 
-def parse_plain(files: DataFrame) -> DataFrame:
-    """(file, at, ...span) of documents in the plain dialect; `spans` is the parsed column of parse_spans."""
-    s = F.col("span")
-    rows = files.where("plain.spans is not null").select("file", F.posexplode("plain.spans").alias("at", "span")).where("span is not null")
-    got = lambda *names: first_nonblank(*[s[n] for n in names])
-    given = last_wins(F.filter(F.array(*[F.named_struct(F.lit("key"), F.lit(k), F.lit("value"), got(*names)) for k, names in SHORTCUTS]), lambda e: e["value"] != ""))
-    return rows.select(
-        "file", F.col("at").cast("bigint").alias("at"), got("trace_id", "traceId").alias("trace_id"), got("span_id", "spanId").alias("span_id"), got("parent_span_id", "parentSpanId").alias("parent_span_id"),
-        got("service", "service_name", "service.name").alias("service"), got("name").alias("name"), F.lower(got("kind")).alias("kind"),
-        time_ns(s["start_time"], s["startTime"]).alias("start_ns"), time_ns(s["end_time"], s["endTime"]).alias("end_ns"),
-        map_over(given, F.from_json(s["attributes"], "map<string,string>")).alias("attributes"),
-    )
-
-
 def _otlp_items(resources: Column) -> Column:
     """All spans of a document in their order, as (shared, span); shared: the attributes of the span's resource."""
     filled = lambda arrays: F.flatten(F.filter(arrays, lambda x: x.isNotNull()))  # noqa: E731  flatten() is null if any array is
@@ -91,17 +77,35 @@ def _otlp_items(resources: Column) -> Column:
     return filled(F.transform(resources, of_resource))
 
 
-def parse_otlp(files: DataFrame) -> DataFrame:
-    """(file, at, ...span) of OTLP JSON documents; a span's attributes override its resource's, the service name too."""
-    rows = files.where("plain.spans is null and otlp.resourceSpans is not null").select("file", F.posexplode(_otlp_items(F.col("otlp.resourceSpans"))).alias("at", "item"))
-    rows = rows.select("file", F.col("at").cast("bigint").alias("at"), "item.shared", "item.span").where("span is not null")
+def _items(value: Column) -> Column:
+    """All spans of a document of either dialect in their order, as (plain, shared, span); null for other documents. Each dialect is tried once."""
+    nothing = F.lit(None).cast("map<string,string>")
+    item = lambda plain, shared, span: F.struct(F.lit(plain).alias("plain"), shared.alias("shared"), span.alias("span"))
+
+    def of_otlp(doc: Column) -> Column:
+        return F.transform(_otlp_items(doc["resourceSpans"]), lambda x: item(False, x["shared"], x["span"]))
+
+    return let(F.from_json(value, PLAIN), lambda doc: F.when(doc["spans"].isNotNull(), F.transform(doc["spans"], lambda s: item(True, nothing, s))).otherwise(let(F.from_json(value, OTLP), of_otlp)))
+
+
+def _spans(files: DataFrame) -> DataFrame:
+    """(file, at, ...span) of (file, value) rows, in one pass over the documents.
+
+    Plain spans may give attributes at their top level; an OTLP span's attributes override its resource's, the service name too.
+    """
+    rows = files.select("file", F.posexplode(_items(F.col("value"))).alias("at", "item")).select("file", F.col("at").cast("bigint").alias("at"), "item.*").where("span is not null")
     s = F.col("span")
-    rows = rows.withColumn("attributes", map_over(F.col("shared"), otlp_attributes(s["attributes"])))
+    either = lambda plain, other: F.when(F.col("plain"), plain).otherwise(other)
     got = lambda *names: first_nonblank(*[s[n] for n in names])
+    swapped = lambda one, two: (either(s[one], s[two]), either(s[two], s[one]))  # noqa: E731  a plain span's `one` comes first, of the others `two`
+    given = F.map_from_entries(F.filter(F.array(*[F.named_struct(F.lit("key"), F.lit(k), F.lit("value"), got(*names)) for k, names in SHORTCUTS]), lambda e: e["value"] != ""))
+    rows = rows.withColumn("attributes", map_over(either(given, F.col("shared")), either(F.from_json(s["attributes"], "map<string,string>"), otlp_attributes(s["attributes"]))))
     return rows.select(
-        "file", "at", got("traceId", "trace_id").alias("trace_id"), got("spanId", "span_id").alias("span_id"), got("parentSpanId", "parent_span_id").alias("parent_span_id"),
-        first_filled(strip(F.col("attributes")["service.name"]), got("service")).alias("service"), got("name").alias("name"), span_kind(s["kind"]).alias("kind"),
-        time_ns(s["startTimeUnixNano"], s["start_time_unix_nano"]).alias("start_ns"), time_ns(s["endTimeUnixNano"], s["end_time_unix_nano"]).alias("end_ns"), "attributes",
+        "file", "at", *[first_nonblank(*swapped(one, two)).alias(one) for one, two in (("trace_id", "traceId"), ("span_id", "spanId"), ("parent_span_id", "parentSpanId"))],
+        first_nonblank(either(s["service"], F.col("attributes")["service.name"]), either(s["service_name"], s["service"]), either(s["service.name"], F.lit(None).cast("string"))).alias("service"),
+        got("name").alias("name"), either(F.lower(got("kind")), span_kind(s["kind"])).alias("kind"),
+        time_ns(either(s["start_time"], s["startTimeUnixNano"]), either(s["startTime"], s["start_time_unix_nano"])).alias("start_ns"),
+        time_ns(either(s["end_time"], s["endTimeUnixNano"]), either(s["endTime"], s["end_time_unix_nano"])).alias("end_ns"), "attributes",
     )
 
 
@@ -125,8 +129,7 @@ def parse_spans(files: DataFrame) -> DataFrame:
     bytes, and a span at least three. The numbers are joined by file, by whatever join their size allows, and not at all where
     seq is not read.
     """
-    parsed = files.select("file", F.from_json("value", PLAIN).alias("plain"), F.from_json("value", OTLP).alias("otlp"))
-    rows = parse_plain(parsed).unionByName(parse_otlp(parsed)).join(file_numbers(files), "file", "left")
+    rows = _spans(files).join(file_numbers(files), "file", "left")
     return rows.select("trace_id", "span_id", "parent_span_id", "service", "name", "kind", "start_ns", "end_ns", "attributes", (F.shiftleft("file_no", AT_BITS) + F.col("at")).alias("seq"))
 
 

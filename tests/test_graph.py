@@ -77,6 +77,12 @@ def test_files_are_not_numbered_in_one_place(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_documents_are_parsed_in_one_pass(spark):
+    """Both dialects come out of one pass: what makes the documents does not run once for each dialect."""
+    plan = spans_json.parse_spans(files(spark, PLAIN, OTLP)).drop("seq")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate posexplode") == 1 and "Union" not in plan
+
+
 def test_discovery(spark):
     result = session.discover_spans(spark, spans_json.parse_spans(files(spark, PLAIN)), "ref", "2024-01-01T00:00:00Z")
     m = json.loads(canon.canonical(result.model))
