@@ -3,6 +3,7 @@ import random
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,3 +195,16 @@ def test_held_out_text_scores_above_the_base(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", (id_crc(F.col("doc_id")) % 7 == 2).alias("held_out"))
     sums = lm.lm_score(docs, ~F.col("held_out"), RANKS, PATTERN, keep=("held_out",)).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert sums[0] > sums[1]
+
+
+def test_words_are_split_and_encoded_as_one_by_one():
+    """Distinct words of all texts, encoded together, are those of words_of, each encoded after a space; odd white space too."""
+    texts = ["A b\x85 c", "\xa0x y  z ", "", " ", None, "\t q\x1c r  Sİ it's 'll a'  b", "x   1 22! é́ 日本 \x00a", "plain words only here " * 400]
+    words, distinct, stops = lm.split_words(pa.array(texts))
+    distinct = distinct.to_pylist()
+    assert len(set(distinct)) == len(distinct)
+    assert [[distinct[i].encode() for i in words[a:b]] for a, b in zip(stops[:-1], stops[1:])] == [lm.words_of(t) for t in texts]
+    coder = lm.encoding(RANKS, PATTERN)
+    for some in (distinct, [w for w in distinct if w.isascii() and len(w.split()) == 1], []):
+        ids, cuts = lm.encode_words(coder, some)
+        assert [ids[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:])] == [coder.encode_ordinary(" " + w) for w in some]
