@@ -208,3 +208,72 @@ def test_words_are_split_and_encoded_as_one_by_one():
     for some in (distinct, [w for w in distinct if w.isascii() and len(w.split()) == 1], []):
         ids, cuts = lm.encode_words(coder, some)
         assert [ids[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:])] == [coder.encode_ordinary(" " + w) for w in some]
+
+
+class Shared:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_words_of_a_batch_are_looked_up_once_and_parts_change_nothing(monkeypatch):
+    """Before, every million bytes of a batch looked its words up anew."""
+    rng = random.Random(5)
+    words = [f"word{i}é" for i in range(300)]
+    texts = [" ".join(rng.choices(words, k=n)) for n in (0, 1, 700, 50_000, 40_000, 60_000, 3)] + [None, " tail "]
+    assert 1_200_000 < sum(len((t or "").encode()) for t in texts) < lm.LOOKED_UP
+    batch = pa.RecordBatch.from_arrays([pa.array(map(str, range(len(texts)))), pa.array(texts)], names=["id", "text"])
+    asked, look_up = [], lm.WordTable.look_up
+    monkeypatch.setattr(lm.WordTable, "look_up", lambda table, some: asked.extend(some) or look_up(table, some))
+    n = len(lm.decoder(RANKS).lengths)
+    model = lm.new_model(np.ones(n + 1))
+    spelled = lm.Spelling(np.ones(n + 1), np.ones(n + 1), np.zeros(n + 1, np.int64), np.full(n + 1, -5.0), np.full((n + 1, lm.SPELLED), -2, np.float16), np.zeros(0, np.int64), np.zeros(0, np.float32), np.ones(n + 1))
+    hot = {w.encode(): i for i, w in enumerate(words[:100])}, np.append(np.linspace(-4, -3, 100), 0), np.append(np.linspace(-2, -1, 100), 0)
+
+    def both():
+        encoded = [r for out in lm._encode(RANKS, PATTERN)(iter([batch])) for r in out.to_pylist()]
+        scored = [r for out in lm._score(Shared((model, spelled)), Shared((hot, -3.0, 1)), RANKS, PATTERN, 1)(iter([batch])) for r in out.to_pylist()]
+        counts = {r["word"]: r["n"] for r in encoded if r["data"] is None}
+        return counts, [r["data"] for r in encoded if r["data"] is not None], scored
+
+    whole = both()
+    assert len(asked) == 2 * len({w for t in texts for w in lm.words_of(t)})
+    assert whole[0] == {**{w: sum((t or "").split().count(w) for t in texts) for w in [*words, "tail"]}, None: len(texts)}
+    monkeypatch.setattr(lm, "LOOKED_UP", 1)
+    monkeypatch.setattr(lm, "SCORED_WORDS", 1)
+    parts = both()
+    assert parts[:2] == whole[:2]
+    for one, other in zip(whole[2], parts[2], strict=True):
+        order = lambda r: sorted(r["cold"], key=lambda c: c["word"])
+        assert order(one) == order(other) and (one["id"], one["n_tokens"], one["hot_known"]) == (other["id"], other["n_tokens"], other["hot_known"])
+        assert (one["hot_sum"], one["hot_score"]) == pytest.approx((other["hot_sum"], other["hot_score"]), rel=1e-6)
+
+
+def test_words_as_bytes_are_encoded_like_text():
+    coder = lm.encoding(RANKS, PATTERN)
+    for words in (["plain", "wörter", "日本", "it's"], ["a\x85c", "\xa0x", "1\x1c2"]):
+        for one, other in zip(lm.encode_words(coder, words), lm.encode_words(coder, [w.encode() for w in words])):
+            assert one.tolist() == other.tolist()
+
+
+def test_a_step_with_large_exponents_has_the_exact_gradient():
+    """Logits of a class near 80, which the cut at 60 would change, and beyond what a float holds."""
+    model = tiny_model()
+    (pairs,) = random_pairs(model, (40,))
+    first, last = np.array(pairs).T
+    inputs, targets, cuts = lm.shifted(model.n_ids, first, last, np.array([0, 40]))
+    at, there = lm.positions(*lm.blocks(cuts))
+    own = there[:, lm.CONTEXT :]
+    for bias in (80, 200):
+        model.rows[-lm.CLASSES // lm.DIM :] = 0
+        model.rows[-lm.CLASSES // lm.DIM :].reshape(-1)[:2] = bias, bias - 1
+        z = lm._forward(model, inputs[at], there, cut=bias > 88)[-1].astype(float)
+        p = np.exp(z - z.max(axis=2, keepdims=True))
+        p /= p.sum(axis=2, keepdims=True)
+        wanted = np.eye(lm.CLASSES)[model.of[targets[at[:, lm.CONTEXT :]]]]
+        slopes = (p - wanted)[own].mean(axis=0)
+        trainer = lm.Trainer(model, rate=1)
+        trainer.square[:] = 1
+        trainer.step(inputs[at], there, targets[at[:, lm.CONTEXT :]])
+        moved = (model.rows - trainer.model.rows) * np.sqrt(trainer.square)[:, None]
+        assert np.isfinite(trainer.model.rows).all()
+        assert moved[-lm.CLASSES // lm.DIM :].reshape(-1) == pytest.approx(slopes, abs=1e-4 if bias < 88 else 1e-3), bias
